@@ -28,5 +28,19 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.withColumn("decoded_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256)).drop("decoded")
 
 
-QUERIES = {f.__name__: f for f in (op3_media_gif, op4_sentencepiece)}
+def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.fit(docs, labels)).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def op10_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels)).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+QUERIES = {f.__name__: f for f in (op3_media_gif, op4_sentencepiece, op5_quality_fm, op10_toxicity_mil)}
 ORACLES: dict[str, str] = {}
