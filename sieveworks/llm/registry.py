@@ -42,5 +42,11 @@ def op10_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels)).withColumn("held_out", held_out(F.col("doc_id")))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_gif, op4_sentencepiece, op5_quality_fm, op10_toxicity_mil)}
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.Tokenizer(f"{TOKENIZERS}/byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op3_media_gif, op4_sentencepiece, op5_quality_fm, op6_best_fit_packing, op10_toxicity_mil)}
 ORACLES: dict[str, str] = {}
