@@ -48,5 +48,24 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.Tokenizer(f"{TOKENIZERS}/byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_gif, op4_sentencepiece, op5_quality_fm, op6_best_fit_packing, op10_toxicity_mil)}
-ORACLES: dict[str, str] = {}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+    from .common import materialize
+
+    archives = materialize(warc.write(table(spark, sf_dir, "pages")), "warc")
+    return warc.page_report(warc.reassemble(warc.records(archives)))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(coalesce(decode(body), '')) AS digest FROM p),
+k AS (SELECT digest, max(page_id) AS keeper FROM d WHERE n >= 1000 GROUP BY digest)
+SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN keeper IS NOT NULL AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM d LEFT JOIN k ON d.digest = k.digest AND d.n >= 1000
+"""
+
+
+QUERIES = {f.__name__: f for f in (op3_media_gif, op4_sentencepiece, op5_quality_fm, op6_best_fit_packing, op7_warc, op10_toxicity_mil)}
+ORACLES: dict[str, str] = {"op7_warc": OP7_SQL}
