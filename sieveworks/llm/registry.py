@@ -67,5 +67,23 @@ FROM d LEFT JOIN k ON d.digest = k.digest AND d.n >= 1000
 """
 
 
-QUERIES = {f.__name__: f for f in (op3_media_gif, op4_sentencepiece, op5_quality_fm, op6_best_fit_packing, op7_warc, op10_toxicity_mil)}
-ORACLES: dict[str, str] = {"op7_warc": OP7_SQL}
+def op8_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vptree
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vptree.search(vectors, vectors.where("vec_id % 20 = 0")).withColumnRenamed("id", "vec_id")
+
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+QUERIES = {f.__name__: f for f in (op3_media_gif, op4_sentencepiece, op5_quality_fm, op6_best_fit_packing, op7_warc, op8_vantage_point, op10_toxicity_mil)}
+ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op8_vantage_point": OP8_SQL}
