@@ -85,5 +85,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
-QUERIES = {f.__name__: f for f in (op3_media_gif, op4_sentencepiece, op5_quality_fm, op6_best_fit_packing, op7_warc, op8_vantage_point, op10_toxicity_mil)}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linedup
+
+    docs = linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed_lines", F.length("text").alias("n_chars_kept"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_media_gif, op4_sentencepiece, op5_quality_fm, op6_best_fit_packing, op7_warc, op8_vantage_point, op10_toxicity_mil)}
 ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op8_vantage_point": OP8_SQL}
