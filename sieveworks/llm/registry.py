@@ -85,6 +85,23 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+#: Words are runs of ASCII letters and digits and of non-ASCII characters; brute force over all pairs that share an n-gram.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-6),
+e AS (SELECT a, b, count(*) = max(n) AND max(n) = max(m) AS same FROM (SELECT p.a, p.b, x.n, y.n AS m FROM p JOIN t x ON x.doc_id = p.a JOIN t y ON y.doc_id = p.b AND x.g = y.g) GROUP BY a, b),
+r AS (SELECT doc_id AS id, doc_id AS v FROM documents UNION SELECT r.id, p.b FROM r JOIN p ON r.v = p.a)
+SELECT d.doc_id, (SELECT min(v) FROM r WHERE r.id = d.doc_id) AS class_id,
+  coalesce((SELECT min(b) FROM e WHERE e.a = d.doc_id AND same AND b < d.doc_id), d.doc_id) AS copy_id,
+  (SELECT count(*) FROM p WHERE p.a = d.doc_id) AS n_links
+FROM documents d
+"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import linedup
 
@@ -92,5 +109,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_removed_lines", F.length("text").alias("n_chars_kept"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_media_gif, op4_sentencepiece, op5_quality_fm, op6_best_fit_packing, op7_warc, op8_vantage_point, op10_toxicity_mil)}
-ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op8_vantage_point": OP8_SQL}
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_media_gif, op4_sentencepiece, op5_quality_fm, op6_best_fit_packing, op7_warc, op8_vantage_point, op10_toxicity_mil)}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op7_warc": OP7_SQL, "op8_vantage_point": OP8_SQL}
