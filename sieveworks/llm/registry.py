@@ -115,5 +115,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_media_gif, op4_sentencepiece, op5_quality_fm, op6_best_fit_packing, op7_warc, op8_vantage_point, op10_toxicity_mil)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_media_gif, op4_sentencepiece, op5_quality_fm, op6_best_fit_packing, op7_warc, op8_vantage_point, op9_suffix_dedup, op10_toxicity_mil)}
 ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op7_warc": OP7_SQL, "op8_vantage_point": OP8_SQL}
