@@ -1,11 +1,70 @@
-"""A training-data pipeline: toxicity, line dedup, n-gram join, suffix dedup, packing."""
+"""From raw documents to packed training sequences, in five stages.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of ``documents``.  ``run`` cuts lineage between stages with tables in the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sieveworks.llm import linedup, ngram_join, packing, suffix_dedup, toxicity
+from sieveworks.llm.common import materialize, table
+from sieveworks.llm.registry import TOKENIZERS
+
+
+def _with_text(before: DataFrame, after: DataFrame) -> DataFrame:
+    """after in before's columns, n_chars brought up to date; documents that lost all their text go."""
+    lost = (F.length(F.trim("text")) == 0) & (F.col("_chars") > 0)
+    after = after.where(~F.coalesce(lost, F.lit(False)))
+    return after.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in before.columns))
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the multiple-instance model rejects go; it learns from the labelled documents that are still there."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Aligned blocks of lines go from the later of two overlapping documents."""
+    marked = docs.withColumn("_chars", F.length(F.trim("text")))
+    return _with_text(docs, linedup.dedup_lines(marked))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by an n-gram Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
+    groups = ngram_join.join(docs.select("doc_id", "text"))
+    gone = groups.where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+
+
+def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings of 50 bytes that an earlier document has go."""
+    marked = docs.withColumn("_chars", F.length(F.trim("text")))
+    return _with_text(docs, suffix_dedup.dedup(marked, as_text=True))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, packing.Tokenizer(f"{TOKENIZERS}/byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard", drop_near_copies),
+    ("suffix_dedup", dedup_substrings),
+    ("packing", pack),
+]
+
+#: Trained models, alignments and tokenizers have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -147,3 +147,17 @@ def offending_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text[hit] + lo)), pa.array(number[hit].astype(np.int32)), pa.array(p[hit])], [id_col, "sentence", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, sentence int, score double")
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose score stays below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            got = [shared.value.scores(texts[lo:hi]) for lo, hi in chunks(texts)]
+            yield b.filter(pa.array((np.concatenate(got) if got else np.zeros(0)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
