@@ -1,4 +1,416 @@
-"""Registered queries of the engine's own operators and their SQL."""
+"""Registered queries of the engine's own operators on the driver's tables, with equivalent DuckDB SQL.
+
+Roles: documents are the corpus, benchmark passages the queries, documents that hold a passage's first 40
+characters its relevant items (relevance 1 + quality label), event counts per user the documents' popularity.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import difficulty, index, learn, metrics, networks, popularity, rank, relational, sampling, subset
+from ..sources import markup, sinks, tables
+from ..sources import text as lines
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+K = 20
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- shared inputs
+
+
+def post(spark, d, kind="unigram"):
+    return index.postings(t(spark, d, "documents"), {"content": "text"}, "doc_id", kind)
+
+
+def queries_(spark, d, first=None, kind="unigram"):
+    return index.query_terms(t(spark, d, "benchmark"), "item_id", "text", kind, first)
+
+
+def query_tokens(spark, d, kind="unigram", first=None):
+    return difficulty.query_tokens(t(spark, d, "benchmark"), "item_id", "text", kind, first)
+
+
+def pop(spark, d):
+    """(id, pop) of every document."""
+    counts = t(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("pop"))
+    return popularity.fill_missing(t(spark, d, "documents").select(F.col("doc_id").alias("id")), counts, "id", "pop")
+
+
+def qrels(spark, d):
+    docs, labels = t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "labels")
+    b = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 40).alias("head"))
+    # the passages are a benchmark of fixed size; a nested loop over that side only
+    hit = docs.crossJoin(F.broadcast(b))
+    hit = hit.where(F.contains("text", F.col("head")))
+    lab = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return hit.join(lab, "doc_id", "left").select("qid", F.col("doc_id").alias("id"), (1 + F.coalesce("quality", F.lit(0))).alias("rel"))
+
+
+def run_(spark, d, k=K, first=8):
+    return rank.search(post(spark, d), queries_(spark, d, first), k)
+
+
+_TOK = r"list_filter(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+TOK = _TOK.format("text")
+BI = "CASE WHEN len(w) < 2 THEN [] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END"
+POST = f"p AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY ALL), st AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ttf FROM p GROUP BY term), dl AS (SELECT id, sum(tf) AS dl FROM p GROUP BY id), fs AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl, sum(dl) AS sum_ttf, (SELECT count(*) FROM p) AS sum_df FROM dl)"
+BPOST = f"bp AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({BI}) AS term FROM (SELECT doc_id, {TOK} AS w FROM documents)) GROUP BY ALL), bst AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ttf FROM bp GROUP BY term)"
+
+
+def q_sql(first: int | None = 8) -> str:
+    w = f"{TOK}[1:{first}]" if first else TOK
+    return f"q AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({w}) AS term FROM benchmark) GROUP BY ALL)"
+
+
+BM25 = "ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+SC = f"sc AS (SELECT qid, p.id, term, qtf * {BM25} AS s, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf FROM q JOIN p USING (term) JOIN st USING (term) JOIN dl ON dl.id = p.id, fs)"
+
+
+def top_sql(k: int = K, name: str = "r", source: str = "sc") -> str:
+    return f"{name} AS (SELECT * FROM (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM (SELECT qid, id, round(sum(s), 6) AS score FROM {source} GROUP BY qid, id)) WHERE rank <= {k})"
+
+
+POP = "pop AS (SELECT doc_id AS id, coalesce(n, 0) AS pop FROM documents LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) ON user_id = doc_id)"
+QREL = "lab AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id), qr AS (SELECT item_id AS qid, d.doc_id AS id, 1 + coalesce(quality, 0) AS rel FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 40)) LEFT JOIN lab ON lab.doc_id = d.doc_id)"
+RUN = f"{POST}, {q_sql()}, {SC}, {top_sql()}"
+
+
+def r6(x: str) -> str:
+    return f"round(CAST({x} AS DOUBLE), 6)"
+
+
+# ---------------------------------------------------------------- index statistics
+
+
+@query(f"WITH {POST} SELECT term, df, ttf FROM st")
+def term_stats(spark, d):
+    return index.term_stats(post(spark, d)).drop("field")
+
+
+@query(f"WITH {POST} SELECT CAST(n_docs AS BIGINT) AS n_docs, CAST(sum_df AS BIGINT) AS sum_df, CAST(sum_ttf AS BIGINT) AS sum_ttf, round(avgdl, 6) AS avgdl FROM fs")
+def field_stats(spark, d):
+    return index.field_stats(post(spark, d)).select("n_docs", "sum_df", "sum_ttf", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {BPOST} SELECT term, df, ttf FROM bst WHERE df > 1")
+def biword_stats(spark, d):
+    return index.term_stats(post(spark, d, "biword")).drop("field").where("df > 1")
+
+
+@query(f"SELECT DISTINCT unnest({TOK}) AS term FROM benchmark")
+def vocab_terms(spark, d):
+    return index.vocabulary(t(spark, d, "benchmark"), "text")
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+@query(f"WITH {POST}, {q_sql(None)}, {SC}, {top_sql()} SELECT qid, id, score, rank FROM r")
+def bm25_topk(spark, d):
+    return rank.search(post(spark, d), queries_(spark, d), K)
+
+
+@query(f"WITH {POST}, {q_sql()}, sc AS (SELECT qid, p.id, qtf * sqrt(tf) * power(1 + ln((n_docs + 1) / (df + 1)), 2) / sqrt(dl) AS s FROM q JOIN p USING (term) JOIN st USING (term) JOIN dl ON dl.id = p.id, fs), {top_sql()} SELECT qid, id, score, rank FROM r")
+def tfidf_topk(spark, d):
+    return rank.search(post(spark, d), queries_(spark, d, 8), K, similarity="tfidf")
+
+
+_TWO = f"f AS (SELECT doc_id, 'title' AS field, split_part(text, chr(10), 1) AS text FROM documents UNION ALL SELECT doc_id, 'content', text FROM documents), p AS (SELECT field, doc_id AS id, term, count(*) AS tf FROM (SELECT field, doc_id, unnest({TOK}) AS term FROM f) GROUP BY ALL), st AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL), dl AS (SELECT field, id, sum(tf) AS dl FROM p GROUP BY ALL), fs AS (SELECT field, count(*) AS n_docs, avg(dl) AS avgdl FROM dl GROUP BY field)"
+
+
+@query(f"WITH {_TWO}, {q_sql()}, sc AS (SELECT qid, p.id, qtf * CASE WHEN field = 'title' THEN 0.15e0 ELSE 0.85e0 END * {BM25} AS s FROM q JOIN p USING (term) JOIN st USING (field, term) JOIN dl USING (field, id) JOIN fs USING (field)), {top_sql()} SELECT qid, id, score, rank FROM r")
+def bm25_field_boost(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("title"))
+    both = index.postings(docs, {"title": "title", "content": "text"})
+    return rank.search(both, queries_(spark, d, 8), K, boosts=rank.mix("title", "content"))
+
+
+@query(f"WITH {POST}, {q_sql(3)}, {SC}, need AS (SELECT qid, count(*) AS need FROM q GROUP BY qid), a AS (SELECT qid, id FROM sc JOIN need USING (qid) GROUP BY qid, id, need HAVING count(DISTINCT term) = need), sa AS (SELECT sc.* FROM sc JOIN a USING (qid, id)), {top_sql(source='sa')} SELECT qid, id, score, rank FROM r")
+def bm25_and_topk(spark, d):
+    return rank.search(post(spark, d), queries_(spark, d, 3), K, operator="and")
+
+
+@query(f"WITH {POST}, {POP}, {q_sql()}, {SC}, g AS (SELECT qid, id, round(sum(s), 6) AS score FROM sc GROUP BY qid, id), b AS (SELECT qid, id, round(ln(score) + ln(CASE WHEN pop = 0 THEN 1 ELSE pop END), 6) AS s FROM g JOIN pop USING (id) WHERE score > 0), {top_sql(source='b')} SELECT qid, id, score, rank FROM r")
+def bm25_pop_boost(spark, d):
+    scores = rank.combine(rank.term_scores(post(spark, d), queries_(spark, d, 8)))
+    return rank.top_k(rank.popularity_boost(scores, pop(spark, d), "id", "pop"), K)
+
+
+@query(f"WITH {RUN}, c AS (SELECT *, first(score) OVER w AS top, lag(score) OVER w AS prev FROM r WINDOW w AS (PARTITION BY qid ORDER BY rank)) SELECT qid, id, score, rank FROM c WHERE prev IS NULL OR prev >= 0.5e0 * top")
+def score_threshold_cut(spark, d):
+    return rank.relative_cut(run_(spark, d))
+
+
+@query(f"WITH {BPOST}, qb AS (SELECT DISTINCT unnest({BI}) AS term FROM (SELECT {TOK} AS w FROM benchmark)) SELECT term, CAST(least(coalesce(df, 0), 10000) AS BIGINT) AS hits FROM qb LEFT JOIN bst USING (term)")
+def phrase_hits(spark, d):
+    return rank.phrase_hits(post(spark, d, "biword"), index.vocabulary(t(spark, d, "benchmark"), "text", "biword"))
+
+
+@query("SELECT item_id AS id, (SELECT count(*) FROM documents WHERE doc_id = item_id) AS hits FROM benchmark")
+def id_lookup(spark, d):
+    return rank.lookup(t(spark, d, "documents"), "doc_id", t(spark, d, "benchmark").select(F.col("item_id").alias("id")))
+
+
+@query(f"WITH {RUN}, i AS (SELECT qid, id, count(*) AS n_terms, round(max(idf), 6) AS max_idf FROM sc GROUP BY qid, id) SELECT r.qid, r.id, n_terms, max_idf FROM r JOIN i USING (qid, id)")
+def idf_terms(spark, d):
+    scores = rank.term_scores(post(spark, d), queries_(spark, d, 8))
+    listed = rank.idf_list(scores).join(rank.top_k(rank.combine(scores), K).select("qid", "id"), ["qid", "id"])
+    pairs = F.split("idfs", " ")
+    return listed.select("qid", "id", F.size(pairs).cast("long").alias("n_terms"), F.array_max(F.transform(pairs, lambda x: F.substring_index(x, ":", -1).cast("double"))).alias("max_idf"))
+
+
+# ---------------------------------------------------------------- effectiveness
+
+_J = f"{RUN}, {QREL}, j AS (SELECT r.qid, r.id, rank, coalesce(rel, 0) AS rel, sum(CASE WHEN coalesce(rel, 0) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r.qid ORDER BY rank) AS hits FROM r LEFT JOIN qr ON qr.qid = r.qid AND qr.id = r.id)"
+_CORE = f"""WITH {_J}, per AS (SELECT qid, count(*) FILTER (rel > 0 AND rank <= 10) AS h10, count(*) FILTER (rel > 0 AND rank <= 20) AS h20, count(*) FILTER (rel > 0 AND rank <= 200) AS h200, min(rank) FILTER (rel > 0) AS fr,
+ coalesce(sum(hits / rank) FILTER (rel > 0), 0) AS aps, coalesce(sum(rel / log2(rank + 1.0)) FILTER (rel > 0 AND rank <= 10), 0) AS dcg, count(*) FILTER (rel > 0 AND rank = 1) AS p1, coalesce(sum(1.0 / rank) FILTER (rel > 0 AND rank >= 2), 0) AS inv FROM j GROUP BY qid),
+ ide AS (SELECT qid, count(*) AS n, sum(CASE WHEN o <= 10 THEN rel / log2(o + 1.0) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, id) AS o FROM qr) GROUP BY qid)"""
+
+
+@query(f"{_CORE} SELECT qid, {r6('coalesce(h10, 0) / 10.0')} AS p10, {r6('coalesce(h20, 0) / 20.0')} AS p20, {r6('coalesce(1.0 / fr, 0)')} AS mrr, {r6('coalesce(aps, 0) / n')} AS ap, {r6('coalesce(h200, 0) / n')} AS r200, {r6('coalesce(h200, 0) / n')} AS r1000, {r6('coalesce(dcg, 0) / idcg')} AS ndcg10, {r6('(coalesce(p1, 0) + coalesce((p1 + 1) * inv, 0)) / n')} AS ap_ref FROM ide LEFT JOIN per USING (qid)")
+def metrics_core(spark, d):
+    return metrics.core(run_(spark, d), qrels(spark, d))
+
+
+@query(f"WITH {RUN}, {QREL}, i AS (SELECT qid, min(id) AS id FROM qr GROUP BY qid), k AS (SELECT i.qid, coalesce(rank, 0) AS rank FROM i LEFT JOIN r ON r.qid = i.qid AND r.id = i.id) SELECT qid, rank, {r6('CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0 END')} AS rr, {r6('CASE WHEN rank BETWEEN 1 AND 3 THEN 1e0 / 3 ELSE 0 END')} AS p3, {r6('CASE WHEN rank BETWEEN 1 AND 3 THEN 0.3 ELSE 0 END')} AS p3_ref, {r6('CASE WHEN rank BETWEEN 1 AND 10 THEN 0.1 ELSE 0 END')} AS p10 FROM k")
+def metrics_known_item(spark, d):
+    item = qrels(spark, d).groupBy("qid").agg(F.min("id").alias("id"))
+    m = metrics.known_item(run_(spark, d), item)
+    return m.select("qid", "rank", "rr", *(F.round(c, 6).alias(c) for c in ("p3", "p3_ref", "p10")))
+
+
+def _mslr_rows(spark, d):
+    e = t(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    w = Window.partitionBy("event_type").orderBy(F.col("last").desc())
+    return e.withColumn("rank", F.row_number().over(w)).select(F.col("event_type").alias("qid"), "rank", (F.col("n") % 5).cast("int").alias("rel"))
+
+
+_MSLR = "e AS (SELECT event_type AS qid, user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY ALL), x AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY last DESC) AS rank, n % 5 AS rel FROM e), y AS (SELECT *, sum((rel > 2)::INT) OVER (PARTITION BY qid ORDER BY rank) AS hits, sum((rel > 2)::INT) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, rank) AS o FROM x)"
+_D = "coalesce(sum(rel / log2(rank + 1.0)) FILTER (rel > 2 AND rank <= 10), 0)"
+
+
+@query(f"WITH {_MSLR} SELECT qid, {r6('count(*) FILTER (rel > 2 AND rank <= 10) / 10.0')} AS pk, {r6('CASE WHEN max(n) > 0 THEN count(*) FILTER (rel > 2 AND rank <= 10) / max(n) ELSE 0 END')} AS recall_k, {r6('count(*) FILTER (rel > 2 AND rank <= 10) / 10.0')} AS recall_k_ref, {r6('coalesce(1.0 / min(rank) FILTER (rel > 2), 0)')} AS mrr, {r6('CASE WHEN max(n) > 0 THEN coalesce(sum(hits / rank) FILTER (rel > 2), 0) / max(n) ELSE 0 END')} AS ap, {r6('CASE WHEN max(n) > 0 THEN max(n) * coalesce(sum(1.0 / rank) FILTER (rel > 2), 0) / (2 * max(n)) ELSE 0 END')} AS ap_ref, {r6('CASE WHEN max(n) > 0 THEN ' + _D + ' / sum(CASE WHEN rel > 2 AND o <= 10 THEN rel / log2(o + 1.0) ELSE 0 END) ELSE 0 END')} AS ndcg, {r6('CASE WHEN max(n) > 0 AND sum(CASE WHEN rank <= n THEN (power(2, rel) - 1) / log2(rank + 1.0) ELSE 0 END) > 0 THEN ' + _D + ' / sum(CASE WHEN rank <= n THEN (power(2, rel) - 1) / log2(rank + 1.0) ELSE 0 END) ELSE 0 END')} AS ndcg_ref FROM y GROUP BY qid")
+def metrics_mslr(spark, d):
+    return metrics.mslr(_mslr_rows(spark, d))
+
+
+@query(f"WITH {RUN}, {QREL} SELECT qid, id, rel FROM qr WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.qid = qr.qid AND r.id = qr.id AND rank <= 5)")
+def false_negatives(spark, d):
+    return metrics.false_negatives(run_(spark, d), qrels(spark, d), 5)
+
+
+@query(f"WITH {_J} SELECT qid, rank, id, CASE WHEN rel > 0 THEN '+' ELSE '-' END AS mark FROM (SELECT *, max(rank) OVER (PARTITION BY qid) AS last FROM j) WHERE rank <= 3 OR rel > 0 OR rank = last")
+def mini_log(spark, d):
+    return metrics.mini_log(run_(spark, d), qrels(spark, d), 3)
+
+
+# ---------------------------------------------------------------- subsets and caches
+
+_BUCKET = "bk AS (SELECT doc_id AS id, n_chars, CAST(ceil(row_number() OVER (ORDER BY n_chars DESC, doc_id) * 5 / count(*) OVER ()) AS INTEGER) AS bucket FROM documents)"
+
+
+def _buckets(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    return subset.nested_buckets(docs, "n_chars", "id", 5)
+
+
+@query(f"WITH {_BUCKET} SELECT id, bucket FROM bk")
+def nested_prefix_buckets(spark, d):
+    return _buckets(spark, d).select("id", "bucket")
+
+
+@query(f"WITH {RUN}, {QREL}, {_BUCKET}, h AS (SELECT r.qid, bucket FROM r JOIN qr ON qr.qid = r.qid AND qr.id = r.id JOIN bk ON bk.id = r.id WHERE rank <= 10) SELECT q.qid, {', '.join(f'CAST(count(*) FILTER (bucket <= {i}) AS BIGINT) AS hits_{i}' for i in range(1, 6))} FROM (SELECT DISTINCT qid FROM qr) q LEFT JOIN h USING (qid) GROUP BY q.qid")
+def subset_metrics_pivot(spark, d):
+    judged = qrels(spark, d)
+    hit = run_(spark, d).where("rank <= 10").join(judged, ["qid", "id"]).join(_buckets(spark, d).select("id", "bucket"), "id")
+    per = hit.groupBy("qid").agg(*[F.sum(F.when(F.col("bucket") <= i, 1).otherwise(0)).alias(f"hits_{i}") for i in range(1, 6)])
+    return judged.select("qid").distinct().join(per, "qid", "left").na.fill(0)
+
+
+@query("WITH x AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rn, count(*) OVER () AS n FROM documents) SELECT CASE WHEN rn <= floor(n * 1 / 4) THEN 'cache' ELSE 'rest' END AS part, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM x GROUP BY 1")
+def cache_rest_split(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "n_chars")
+    parts = [("cache", subset.prefix(docs, "n_chars", "doc_id", 1, 4)), ("rest", subset.complement(docs, "n_chars", "doc_id", 1, 4))]
+    return relational.reduce(DataFrame.unionByName, [p.agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars")).select(F.lit(n).alias("part"), "n_docs", "n_chars") for n, p in parts])
+
+
+@query(f"WITH {RUN}, {POP} SELECT qid, id, rank FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS m FROM r) JOIN pop USING (id) WHERE m >= 2 AND pop >= 60")
+def threshold_filter(spark, d):
+    return subset.threshold_filter(run_(spark, d), pop(spark, d), 60).select("qid", "id", "rank")
+
+
+@query(f"WITH {RUN}, {POP}, x AS (SELECT qid, pop, row_number() OVER (PARTITION BY qid ORDER BY pop DESC, id) AS o, count(*) OVER (PARTITION BY qid) AS n FROM r JOIN pop USING (id)) SELECT qid, pop AS threshold FROM x WHERE o = greatest(1, floor(0.3e0 * n))")
+def per_query_threshold(spark, d):
+    return subset.query_threshold(run_(spark, d), pop(spark, d), 0.3)
+
+
+@query(f"WITH {POP}, x AS (SELECT pop, row_number() OVER (ORDER BY pop DESC, id) AS rn, count(*) OVER () AS n FROM pop) SELECT CAST(part AS INTEGER) AS part, pop AS threshold FROM x JOIN (SELECT unnest(range(1, 11)) AS part) ON rn = floor(n * part / 10)")
+def global_thresholds(spark, d):
+    return subset.global_thresholds(pop(spark, d), 10)
+
+
+@query("WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), x AS (SELECT n, row_number() OVER (ORDER BY n DESC, user_id) AS rn, (count(*) OVER () + 1) // 5 AS step, min(n) OVER () AS lo FROM c) SELECT CAST(rn // step AS INTEGER) AS part, CASE WHEN rn // step = 5 THEN lo ELSE n END AS threshold FROM x WHERE rn % step = 0 AND rn // step <= 5")
+def step_thresholds(spark, d):
+    return subset.step_thresholds(t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")), 5, "n", "user_id")
+
+
+@query("WITH x AS (SELECT doc_id, n_chars, ceil(row_number() OVER (ORDER BY n_chars DESC, doc_id) * 20 / count(*) OVER ()) AS page, sum(n_chars) OVER () AS s FROM documents) SELECT CAST(page AS INTEGER) AS page, count(*) AS n_docs, round(min(n_chars) / max(s), 9) AS last_share FROM x GROUP BY page")
+def popularity_pages(spark, d):
+    p = subset.pages(t(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 20)
+    return p.groupBy("page").agg(F.count("*").alias("n_docs"), F.round(F.first("last_share"), 9).alias("last_share"))
+
+
+@query(f"WITH {RUN}, {QREL}, c AS (SELECT doc_id AS id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100), rl AS (SELECT DISTINCT id FROM qr) SELECT (SELECT count(*) FROM c) AS size, (SELECT count(*) FROM rl) AS n_rel, (SELECT count(*) FROM c JOIN rl USING (id)) AS hits, {r6('(SELECT count(*) FROM c JOIN rl USING (id)) / (SELECT count(*) FROM c)')} AS precision, {r6('coalesce((SELECT count(*) FROM c JOIN rl USING (id)) / nullif((SELECT count(*) FROM rl), 0), 0)')} AS recall")
+def subset_quality(spark, d):
+    cache = subset.cache_table(t(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars"), "n_chars", "id", 100)
+    return metrics.subset_quality(cache.select("id"), qrels(spark, d))
+
+
+# ---------------------------------------------------------------- popularity
+
+
+@query(f"WITH {POST}, {POP} SELECT term, round(avg(pop), 6) AS mean_pop, CAST(min(pop) AS DOUBLE) AS min_pop FROM p JOIN pop USING (id) GROUP BY term")
+def token_popularity(spark, d):
+    return popularity.token_popularity(post(spark, d), pop(spark, d))
+
+
+@query(f"WITH {POST}, {POP}, {q_sql(None)} SELECT term, round(avg(pop), 6) AS mean_pop, CAST(min(pop) AS DOUBLE) AS min_pop FROM p JOIN pop USING (id) WHERE term IN (SELECT term FROM q) GROUP BY term")
+def token_popularity_query_terms(spark, d):
+    return popularity.token_popularity(post(spark, d), pop(spark, d), queries_(spark, d))
+
+
+@query(f"WITH {POP} SELECT id, round((pop + 0.5e0) / (sum(pop) OVER () + count(*) OVER () * 0.5e0), 9) AS smoothed FROM pop")
+def laplace_weights(spark, d):
+    return popularity.laplace(pop(spark, d), 0.5).select("id", F.round("smoothed", 9).alias("smoothed"))
+
+
+@query("SELECT l_suppkey, CAST(sum(p_size) AS BIGINT) AS popularity FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey")
+def popularity_rollup(spark, d):
+    part = t(spark, d, "part").withColumnRenamed("p_partkey", "l_partkey")
+    return popularity.rollup(part, t(spark, d, "lineitem"), "l_partkey", "l_suppkey", "p_size")
+
+
+@query("WITH f AS (SELECT event_type, user_id, count(*) AS freq FROM events GROUP BY ALL) SELECT event_type, user_id, freq, CAST(unnest(range(0, freq)) AS INTEGER) AS instance FROM f")
+def flatten_frequency(spark, d):
+    return popularity.flatten(t(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("freq")))
+
+
+# ---------------------------------------------------------------- difficulty and features
+
+_QT = f"qt AS (SELECT item_id AS qid, pos, w[pos] AS term FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT item_id, {TOK}[1:8] AS w FROM benchmark)))"
+_ST = f"{POST}, {_QT}, z AS (SELECT qt.*, coalesce(df, 0) AS df, coalesce(ttf, 0) AS ttf FROM qt LEFT JOIN st USING (term))"
+#: The cache is the documents of even id, the rest the others; both are smoothed with the whole.
+_HALF = "cp AS (SELECT * FROM p WHERE id % 2 = {0}), cst AS (SELECT term, count(*) AS df, sum(tf) AS ttf FROM cp GROUP BY term), cfs AS (SELECT count(DISTINCT id) AS n_docs, sum(tf) AS sum_ttf FROM cp)"
+
+
+def _toks(spark, d):
+    return query_tokens(spark, d, first=8)
+
+
+@query(f"WITH {_ST} SELECT qid, {r6('1.0 / count(*) + ln((SELECT sum_ttf FROM fs) / (sum(ttf) + 1)) / count(*)')} AS clarity FROM z GROUP BY qid")
+def difficulty_clarity(spark, d):
+    p = post(spark, d)
+    return difficulty.clarity(_toks(spark, d), index.term_stats(p), index.field_stats(p))
+
+
+@query(f"WITH {POST}, {q_sql()}, {SC}, per AS (SELECT qid, term, var_pop(s) AS v, avg(s) AS m FROM sc GROUP BY ALL), n AS (SELECT qid, count(*) AS n FROM q GROUP BY qid), g AS (SELECT qid, max(v) AS mv, sum(v) AS sv, max(m) AS mm, sum(m) AS sm FROM per GROUP BY qid) SELECT qid, {r6('coalesce(mv, 0)')} AS max_var, {r6('coalesce(sv, 0) / n')} AS avg_var, {r6('coalesce(mm, 0)')} AS max_mean, {r6('coalesce(sm, 0) / n')} AS avg_mean FROM n LEFT JOIN g USING (qid)")
+def difficulty_variance(spark, d):
+    return difficulty.score_spread(rank.term_scores(post(spark, d), queries_(spark, d, 8)), _toks(spark, d))
+
+
+@query(f"WITH {_ST} SELECT qid, {r6('sum(ln((ttf + 1) / (SELECT sum_df + sum_ttf FROM fs)))')} AS ln_lm FROM z GROUP BY qid")
+def difficulty_lm(spark, d):
+    p = post(spark, d)
+    return difficulty.language_model(_toks(spark, d), index.term_stats(p), index.field_stats(p))
+
+
+@query(f"WITH {_ST} SELECT qid, {r6('avg(CASE WHEN ttf > 0 THEN 1.0 ELSE 0 END)')} AS coverage FROM z GROUP BY qid")
+def difficulty_coverage(spark, d):
+    return difficulty.coverage(_toks(spark, d), index.term_stats(post(spark, d)))
+
+
+def _jm(spark, d, half):
+    p = post(spark, d)
+    own = p.where(F.col("id") % 2 == half)
+    return difficulty.jelinek_mercer(_toks(spark, d), index.term_stats(own), index.field_stats(own), index.term_stats(p), index.field_stats(p))
+
+
+def _jm_sql(half: int) -> str:
+    return f"{_HALF.format(half)}, zz AS (SELECT z.qid, 0.9e0 * coalesce(cst.ttf, 0) / (SELECT sum_ttf FROM cfs) + (1 - 0.9e0) * z.ttf / (SELECT sum_ttf FROM fs) AS p FROM z LEFT JOIN cst USING (term))"
+
+
+@query(f"WITH {_ST}, {_jm_sql(0)} SELECT qid, {r6('sum(CASE WHEN p > 0 THEN ln(p) ELSE 0 END)')} AS ln_jm, max((p <= 0)::INT) AS zero FROM zz GROUP BY qid")
+def difficulty_jm(spark, d):
+    return _jm(spark, d, 0)
+
+
+@query(f"WITH {_ST}, {BPOST}, {_HALF.format(0)}, cb AS (SELECT term, count(*) AS hits FROM bp WHERE id % 2 = 0 GROUP BY term), v AS (SELECT z.*, lag(term) OVER (PARTITION BY qid ORDER BY pos) AS prev FROM z), x AS (SELECT v.qid, 0.9e0 * CASE WHEN coalesce(pr.ttf, 0) > 0 THEN least(coalesce(hits, 0), 10000) / pr.ttf ELSE 0 END + (1 - 0.9e0) * (0.5e0 * coalesce(c.ttf, 0) / (SELECT sum_ttf FROM cfs) + 0.5e0 * v.ttf / (SELECT sum_ttf FROM fs)) AS p FROM v LEFT JOIN cst c ON c.term = v.term LEFT JOIN cst pr ON pr.term = v.prev LEFT JOIN cb ON cb.term = v.prev || ' ' || v.term WHERE prev IS NOT NULL) SELECT qid, {r6('sum(CASE WHEN p > 0 THEN ln(p) ELSE 0 END)')} AS ln_bjm, max((p <= 0)::INT) AS zero FROM x GROUP BY qid")
+def difficulty_bigram_jm(spark, d):
+    p, b = post(spark, d), post(spark, d, "biword").where("id % 2 = 0")
+    own = p.where("id % 2 = 0")
+    return difficulty.bigram_jelinek_mercer(_toks(spark, d), index.term_stats(own), index.field_stats(own), index.term_stats(p), index.field_stats(p), index.term_stats(b))
+
+
+@query(f"WITH {RUN}, {POP} SELECT qid, {r6('sum(pop) / 20.0')} AS mean, {r6('sum(pop * pop) / 20.0 - (sum(pop) / 20.0) * (sum(pop) / 20.0)')} AS var FROM r JOIN pop USING (id) WHERE rank <= 20 GROUP BY qid")
+def difficulty_popularity(spark, d):
+    return popularity.moments(run_(spark, d), pop(spark, d))
+
+
+def _features(spark, d, kind):
+    p = post(spark, d, kind)
+    own = p.where("id % 2 = 0")
+    tokens = query_tokens(spark, d, kind, 8)
+    return difficulty.features(tokens, index.term_stats(own), index.field_stats(own), index.term_stats(p), index.field_stats(p), popularity.token_popularity(own, pop(spark, d), tokens))
+
+
+def _features_sql(kind: str) -> str:
+    words = TOK if kind == "unigram" else BI
+    docs = "documents" if kind == "unigram" else f"(SELECT doc_id, {TOK} AS w FROM documents)"
+    bench = "benchmark" if kind == "unigram" else f"(SELECT item_id, {TOK} AS w FROM benchmark)"
+    return f"""WITH {POP}, p AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({words}) AS term FROM {docs}) GROUP BY ALL), st AS (SELECT term, sum(tf) AS ttf FROM p GROUP BY term), {_HALF.format(0)},
+ tp AS (SELECT term, round(avg(pop), 6) AS mp, CAST(min(pop) AS DOUBLE) AS lp FROM cp JOIN pop USING (id) GROUP BY term), qt AS (SELECT item_id AS qid, unnest(({words})[1:8]) AS term FROM {bench}),
+ x AS (SELECT qid, coalesce(cst.df, 0) AS df, mp, lp, 0.9e0 * coalesce(cst.ttf, 0) / (SELECT sum_ttf FROM cfs) + (1 - 0.9e0) * coalesce(st.ttf, 0) / (SELECT sum(tf) FROM p) AS p FROM qt LEFT JOIN cst USING (term) LEFT JOIN st USING (term) LEFT JOIN tp USING (term))
+ SELECT qid, {r6('avg(CASE WHEN df > 0 THEN 1.0 ELSE 0 END)')} AS covered, {r6('sum(df / (SELECT n_docs FROM cfs)) / count(*)')} AS mean_df, {r6('min(df) / (SELECT n_docs FROM cfs)')} AS min_df, {r6('coalesce(sum(mp), 0) / count(*)')} AS mean_mean, {r6('coalesce(sum(lp), 0) / count(*)')} AS mean_min, {r6('coalesce(min(mp), 0)')} AS min_mean, {r6('coalesce(min(lp), 0)')} AS min_min, {r6('sum(CASE WHEN p > 0 THEN ln(p) ELSE 0 END)')} AS log_likelihood FROM x GROUP BY qid"""
+
+
+@query(_features_sql("unigram"))
+def features_unigram(spark, d):
+    return _features(spark, d, "unigram")
+
+
+@query(_features_sql("biword"))
+def features_biword(spark, d):
+    return _features(spark, d, "biword")
+
+
+@query(f"WITH {_ST}, {BPOST}, b AS (SELECT term, count(*) AS hits FROM bp GROUP BY term), v AS (SELECT qid, term, lag(term) OVER (PARTITION BY qid ORDER BY pos) AS prev FROM qt), x AS (SELECT v.qid, coalesce(hits, 0) AS hits, CASE WHEN coalesce(st.df, 0) > 0 THEN coalesce(hits, 0) / st.df ELSE 0 END AS share FROM v LEFT JOIN st ON st.term = v.prev LEFT JOIN b ON b.term = v.prev || ' ' || v.term WHERE prev IS NOT NULL) SELECT qid, {r6('avg((hits > 0)::INT)')} AS covered, {r6('avg(share)')} AS mean, {r6('least(1, min(share))')} AS min FROM x GROUP BY qid")
+def features_conditional_biwords(spark, d):
+    return difficulty.conditional_biwords(_toks(spark, d), index.term_stats(post(spark, d)), index.term_stats(post(spark, d, "biword")))
+
+
+@query(f"WITH {RUN} SELECT qid, {r6('avg(score)')} AS mean_score, {r6('min(score)')} AS min_score FROM r GROUP BY qid")
+def features_scores(spark, d):
+    return difficulty.score_features(run_(spark, d))
+
+
+@query(f"WITH {_ST}, {_jm_sql(0)}, a AS (SELECT qid, {r6('sum(CASE WHEN p > 0 THEN ln(p) ELSE 0 END)')} AS c FROM zz GROUP BY qid), {_jm_sql(1).replace('cp AS', 'cp1 AS').replace('FROM cp ', 'FROM cp1 ').replace('FROM cp)', 'FROM cp1)').replace('cst', 'cst1').replace('cfs', 'cfs1').replace('zz AS', 'zz1 AS')}, b AS (SELECT qid, {r6('sum(CASE WHEN p > 0 THEN ln(p) ELSE 0 END)')} AS r FROM zz1 GROUP BY qid) SELECT qid, CASE WHEN c >= r THEN 1 ELSE 0 END AS use_cache FROM a JOIN b USING (qid)")
+def ql_cache_choice(spark, d):
+    return difficulty.choose_cache(_jm(spark, d, 0), _jm(spark, d, 1))
