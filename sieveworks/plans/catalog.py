@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import difficulty, index, learn, metrics, networks, popularity, rank, relational, sampling, subset
-from ..sources import markup, sinks, tables
+from ..sources import markup, sinks
 from ..sources import text as lines
 
 QUERIES: dict = {}
@@ -414,3 +414,403 @@ def features_scores(spark, d):
 @query(f"WITH {_ST}, {_jm_sql(0)}, a AS (SELECT qid, {r6('sum(CASE WHEN p > 0 THEN ln(p) ELSE 0 END)')} AS c FROM zz GROUP BY qid), {_jm_sql(1).replace('cp AS', 'cp1 AS').replace('FROM cp ', 'FROM cp1 ').replace('FROM cp)', 'FROM cp1)').replace('cst', 'cst1').replace('cfs', 'cfs1').replace('zz AS', 'zz1 AS')}, b AS (SELECT qid, {r6('sum(CASE WHEN p > 0 THEN ln(p) ELSE 0 END)')} AS r FROM zz1 GROUP BY qid) SELECT qid, CASE WHEN c >= r THEN 1 ELSE 0 END AS use_cache FROM a JOIN b USING (qid)")
 def ql_cache_choice(spark, d):
     return difficulty.choose_cache(_jm(spark, d, 0), _jm(spark, d, 1))
+
+
+# ---------------------------------------------------------------- relational operators
+
+
+@query("SELECT p_brand, s_name, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL")
+def rel_bridge_3way(spark, d):
+    part, sup = t(spark, d, "part").select("p_partkey", "p_brand"), t(spark, d, "supplier").select("s_suppkey", "s_name")
+    link = t(spark, d, "lineitem").select("l_partkey", "l_suppkey")
+    return relational.bridge(part, link, sup, ("p_partkey", "l_partkey"), ("s_suppkey", "l_suppkey")).groupBy("p_brand", "s_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, c_name, n_name, p_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey WHERE o_custkey % 50 = 0")
+def rel_left_chain(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    ids = o.where("o_custkey % 50 = 0").select("o_orderkey")
+    out = relational.tuple_tree(ids, o, "o_orderkey", [])
+    out = out.join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey"), "o_custkey", "left")
+    out = out.join(t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left")
+    out = out.join(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")), "o_orderkey", "left")
+    return out.join(t(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", "left").select("o_orderkey", "c_name", "n_name", "p_name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000)))")
+def rel_semi_nested(spark, d):
+    c = t(spark, d, "customer").where("c_mktsegment = 'BUILDING' AND c_acctbal > 9000").select(F.col("c_custkey").alias("o_custkey"))
+    o = t(spark, d, "orders").join(c, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
+    li = t(spark, d, "lineitem").join(o, "l_orderkey", "left_semi").select(F.col("l_partkey").alias("p_partkey"))
+    return t(spark, d, "part").join(li, "p_partkey", "left_semi").select("p_partkey", "p_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+def rel_anti_left_null(spark, d):
+    return t(spark, d, "customer").join(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
+def rel_not_in_nullaware(spark, d):
+    rich = t(spark, d, "customer").where("c_acctbal > 9900")
+    return relational.not_in(t(spark, d, "supplier"), "s_nationkey", rich, "c_nationkey").select("s_suppkey", "s_name")
+
+
+_UNION = [("part", "p_name"), ("supplier", "s_name"), ("nation", "n_name"), ("region", "r_name"), ("customer", "c_mktsegment"), ("orders", "o_orderpriority"), ("events", "event_type"), ("documents", "source")]
+
+
+@query(" UNION ".join(f"SELECT '{n}' AS semantic_type, {c} AS name FROM {n}" for n, c in _UNION))
+def rel_union_8(spark, d):
+    return relational.union_distinct([t(spark, d, n).select(F.lit(n).alias("semantic_type"), F.col(c).alias("name")) for n, c in _UNION])
+
+
+def _decomposed(spark, d):
+    part = t(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    return part, relational.decompose(part, "p_partkey", {"small": F.col("p_size") < 10, "brand1": F.lower("p_brand").contains("#1")})
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 10) AND p_partkey NOT IN (SELECT p_partkey FROM part WHERE contains(lower(p_brand), '#1'))")
+def decomposition_other(spark, d):
+    return _decomposed(spark, d)[1]["other"].select("p_partkey", "p_brand")
+
+
+@query("WITH x AS (SELECT (SELECT count(*) FROM part WHERE p_size < 10) + (SELECT count(*) FROM part WHERE contains(lower(p_brand), '#1')) + (SELECT count(*) FROM part WHERE NOT (p_size < 10) AND NOT contains(lower(p_brand), '#1')) AS n, (SELECT count(*) FROM part) AS a) SELECT n AS n_parts, a AS n_all, n - a AS surplus FROM x")
+def decomposition_completeness(spark, d):
+    part, parts = _decomposed(spark, d)
+    return relational.completeness(part, parts).select("n_parts", "n_all", "surplus")
+
+
+@query("SELECT l_partkey, min(l_suppkey) AS l_suppkey, arg_min(l_shipdate, (l_suppkey, l_orderkey, l_linenumber)) AS shipdate FROM lineitem GROUP BY l_partkey")
+def groupby_min_by(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"), F.min_by("l_shipdate", F.struct("l_suppkey", "l_orderkey", "l_linenumber")).alias("shipdate"))
+
+
+@query("SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def having_count(spark, d):
+    return t(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE (contains(lower(p_name), 'green') OR contains(lower(p_name), 'blue')) OR regexp_matches(lower(p_type), 'steel|brass$')")
+def like_regexp_filter(spark, d):
+    return t(spark, d, "part").where(F.col("p_name").ilike("%green%") | F.col("p_name").ilike("%blue%") | F.col("p_type").rlike("(?i)steel|brass$")).select("p_partkey", "p_name", "p_type")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 10 < 1")
+def mod_sample(spark, d):
+    return sampling.modulo(t(spark, d, "orders").select("o_orderkey"), "o_orderkey", 10, 1)
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 50")
+def offset_page(spark, d):
+    return t(spark, d, "customer").select("c_custkey", "c_acctbal").orderBy(F.col("c_acctbal").desc(), "c_custkey").offset(50).limit(25)
+
+
+@query(f"WITH {POP} SELECT id, pop FROM pop")
+def left_coalesce(spark, d):
+    return pop(spark, d)
+
+
+@query("SELECT doc_id FROM documents WHERE replace(substr(text, 1, 40), chr(13), '') <> lower(substr(text, 1, 40))")
+def hard_queries(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("q"), F.substring("text", 1, 40).alias("n"))
+    return relational.hard_queries(docs, "q", "n").select("doc_id")
+
+
+@query("SELECT n_name, c_name, o_orderkey, l_linenumber FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE n_nationkey IN (1, 3) AND l_quantity > 45")
+def rel_four_way(spark, d):
+    n = t(spark, d, "nation").where(F.col("n_nationkey").isin(1, 3))
+    li = t(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber")
+    c = t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    o = t(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("n_name", "c_name", "o_orderkey", "l_linenumber")
+
+
+@query("WITH i AS (SELECT o_custkey % 7 AS qid, o_orderkey AS id FROM orders WHERE o_orderkey % 100 = 0) SELECT qid, count(*) AS n FROM i JOIN lineitem a ON a.l_orderkey = i.id JOIN lineitem b ON b.l_orderkey = i.id GROUP BY qid")
+def relation_counts(spark, d):
+    ids = t(spark, d, "orders").where("o_orderkey % 100 = 0").select((F.col("o_custkey") % 7).alias("qid"), F.col("o_orderkey").alias("id"))
+    li = t(spark, d, "lineitem").select("l_orderkey")
+    return relational.relation_counts(ids, [(li, "l_orderkey"), (li, "l_orderkey")]).select("qid", F.col("n").cast("long").alias("n"))
+
+
+@query(f"WITH {RUN}, m AS (SELECT doc_id AS id, doc_id // 3 AS v FROM documents WHERE doc_id % 7 <> 0), f AS (SELECT qid, v, min(rank) AS k FROM r JOIN m USING (id) GROUP BY qid, v) SELECT qid, v AS id, CAST(row_number() OVER (PARTITION BY qid ORDER BY k, v) AS INTEGER) AS rank FROM f")
+def id_remap_dedup(spark, d):
+    mapping = t(spark, d, "documents").where("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), F.expr("doc_id div 3").alias("to"))
+    return metrics.remap(run_(spark, d), mapping)
+
+
+_CUT = "trim(regexp_extract({0}, '^([^:(]*)', 1))"
+
+
+@query(f"WITH p AS (SELECT p_partkey AS k, lower(CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' (x)' ELSE p_name || ': y' END) AS t FROM part), b AS (SELECT p_partkey AS v, lower(CASE p_partkey % 2 WHEN 0 THEN p_name ELSE p_name || ' (z)' END) AS t FROM part WHERE p_partkey <= 20), s1 AS (SELECT DISTINCT k, v, 1 AS stage FROM p JOIN b ON p.t = b.t), s2 AS (SELECT DISTINCT k, v, 2 AS stage FROM p JOIN b ON p.t = {_CUT.format('b.t')} WHERE k NOT IN (SELECT k FROM s1)), s3 AS (SELECT DISTINCT k, v, 3 AS stage FROM p JOIN b ON {_CUT.format('p.t')} = {_CUT.format('b.t')} WHERE k NOT IN (SELECT k FROM s1 UNION SELECT k FROM s2)) SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3")
+def cascade_title_match(spark, d):
+    part = t(spark, d, "part").select("p_partkey", "p_name")
+    probe = part.select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" (x)"))).otherwise(F.concat("p_name", F.lit(": y"))).alias("title"))
+    build = part.where("p_partkey <= 20").select(F.col("p_partkey").alias("v"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" (z)"))).alias("title"))
+    return relational.cascade_match(probe, build, "k", "title", "v")
+
+
+@query("SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def first_seen_dedup(spark, d):
+    return relational.first_seen(t(spark, d, "events"), "user_id", "event_type", "event_id")
+
+
+@query("SELECT l_partkey, floor(avg(l_quantity) * 100) / 100 AS mean_quantity, count(*) AS n FROM lineitem GROUP BY l_partkey")
+def group_avg_floor(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_partkey").agg(T.floor2(F.avg("l_quantity")).cast("double").alias("mean_quantity"), F.count("*").alias("n"))
+
+
+def _w_sql(m: str, c: str) -> str:
+    return f"round(sum(CASE WHEN {c} THEN {m} * l_linenumber END) / sum(CASE WHEN {c} THEN l_linenumber END), 6)"
+
+
+@query("SELECT " + ", ".join(f"{_w_sql(m, c)} AS {m}_{n}" for m in ("l_quantity", "l_discount") for n, c in (("all", "true"), ("bad", "l_returnflag = 'R'"), ("good", "NOT l_returnflag = 'R'"))) + " FROM lineitem")
+def conditional_report(spark, d):
+    return relational.conditional_report(t(spark, d, "lineitem"), F.col("l_returnflag") == "R", ["l_quantity", "l_discount"], "l_linenumber")
+
+
+@query("SELECT event_type, count(*) FILTER (user_id % 3 = 0) AS u0, count(*) FILTER (user_id % 3 = 1) AS u1, count(*) FILTER (user_id % 3 = 2) AS u2 FROM events GROUP BY event_type")
+def wide_report(spark, d):
+    n = t(spark, d, "events").groupBy("event_type", (F.col("user_id") % 3).cast("int").alias("u")).agg(F.count("*").alias("n"))
+    w = relational.wide(n, "event_type", "u", "n", [0, 1, 2])
+    return w.select("event_type", *(F.coalesce(str(i), F.lit(0)).alias(f"u{i}") for i in range(3)))
+
+
+# ---------------------------------------------------------------- parsers and scalar functions
+
+_UN = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&')"
+_WS = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+
+
+@query("SELECT page_id, " + _WS.format(_UN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")) + " AS title FROM pages")
+def html_title_text(spark, d):
+    return markup.html_pages(t(spark, d, "pages")).select("page_id", "title")
+
+
+@query("SELECT page_id, " + _WS.format(_UN.format("regexp_replace(html, '<[^>]*>', ' ', 'g')")) + " AS text FROM pages")
+def strip_unescape(spark, d):
+    return t(spark, d, "pages").select("page_id", T.collapse(T.unescape(T.strip_tags("html"))).alias("text"))
+
+
+@query("SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS DOUBLE), 0) AS total FROM events")
+def json_map_sum(spark, d):
+    return t(spark, d, "events").select("event_id", F.coalesce(T.json_sum("props"), F.lit(0.0)).alias("total"))
+
+
+@query(f"WITH {POP} SELECT CAST(id AS VARCHAR) AS id, CAST(pop AS DOUBLE) AS pop FROM pop WHERE id % 3 <> 0")
+def regex_path_popularity(spark, d):
+    made = pop(spark, d).select(F.when(F.col("id") % 3 == 0, F.lit("no path")).otherwise(F.concat(F.lit("a/b/"), F.col("id").cast("string"), F.lit(".xml, "), F.col("pop").cast("string"))).alias("value"))
+    return lines.parse_popularity(made)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, lang, source, replace(replace(substr(text, 1, 30), ',', ' '), chr(10), ' ') AS query FROM documents")
+def csv_repair(spark, d):
+    row = F.concat_ws(",", F.translate(F.substring("text", 1, 30), "\n", " "), F.col("doc_id").cast("string"), "lang", "source")
+    f = lines.repair_csv(t(spark, d, "documents").select(row.alias("value")), 4)
+    return f.select(F.col("fields")[0].alias("query"), F.col("fields")[1].alias("key"), F.col("fields")[2].alias("lang"), F.col("fields")[3].alias("source"))
+
+
+@query("SELECT DISTINCT p_partkey AS post_id, x.id AS tag_id FROM (SELECT p_partkey, unnest([p_brand, p_type]) AS tag_name FROM part) p JOIN (SELECT row_number() OVER (ORDER BY n) AS id, n FROM (SELECT DISTINCT p_brand AS n FROM part UNION SELECT DISTINCT p_type FROM part)) x ON x.n = p.tag_name")
+def explode_tags(spark, d):
+    part = t(spark, d, "part")
+    posts = part.select(F.col("p_partkey").alias("id"), F.format_string("<%s><%s>", "p_brand", "p_type").alias("tags"))
+    names = part.select(F.col("p_brand").alias("tag_name")).union(part.select("p_type")).distinct()
+    numbered = names.withColumn("id", F.row_number().over(Window.orderBy("tag_name")).cast("long"))  # a row per brand and type
+    return sinks.post_tags(posts, numbered)
+
+
+@query("SELECT CAST(item_id AS INTEGER) AS qid, 'd' || item_id AS doc_id, CAST(item_id % 4 AS INTEGER) AS rel FROM benchmark WHERE item_id % 4 <> 0")
+def qrel_scan(spark, d):
+    return lines.parse_qrels(t(spark, d, "benchmark").select(F.format_string("%d Q0 d%d %d", "item_id", "item_id", F.col("item_id") % 4).alias("value")))
+
+
+@query("SELECT CAST(item_id AS INTEGER) AS qid, replace(replace(replace(substr(text, 1, 30), ',', ''), '\"', ''), chr(10), ' ') AS text FROM benchmark WHERE item_id % 2 = 0")
+def query_file_scan(spark, d):
+    raw = t(spark, d, "benchmark").select("item_id", F.concat_ws(" ", F.translate(F.substring("text", 1, 30), "\n", " "), F.col("item_id").cast("string")).alias("value"))
+    judged = t(spark, d, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").cast("int").alias("qid"))
+    return lines.judged_queries(lines.parse_queries(raw.select("value")), judged)
+
+
+@query("SELECT CAST(user_id % 5 AS INTEGER) AS rel, CAST(user_id AS INTEGER) AS qid, CAST(count(*) AS DOUBLE) AS bm25, '126|127|128|129' AS url_id, CAST(count(*) AS INTEGER) AS clicks FROM events GROUP BY user_id")
+def mslr_scan(spark, d):
+    e = t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    n = F.col("n").cast("string")
+    values = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(136)), lambda i: F.concat(i.cast("string"), F.lit(":"), F.when(i.isin(106, 107, 135, 136), n).otherwise(i.cast("string")))), " ")
+    row = e.select(F.concat_ws(" ", (F.col("user_id") % 5).cast("string"), F.concat(F.lit("qid:"), F.col("user_id").cast("string")), values).alias("value"))
+    parsed = lines.parse_mslr(row)
+    return parsed.select("rel", "qid", "bm25", "url_id", "clicks")
+
+
+# ---------------------------------------------------------------- questions and answers
+
+
+def _answers(spark, d):
+    c = t(spark, d, "conversations")
+    key = lambda turn: F.col("conv_id") * 1000 + turn
+    asked = c.where("role = 'user'").select(key(F.col("turn")).alias("qid"), F.col("text").alias("question"))
+    given = c.where("role = 'assistant'").select(key(F.col("turn")).alias("id"), key(F.col("turn") - 1).alias("qid"), F.col("text").alias("body"))
+    return asked, given
+
+
+_QA = f"""a AS (SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn - 1 AS qid, text FROM conversations WHERE role = 'assistant'), u AS (SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user'),
+p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({TOK}) AS term FROM a) GROUP BY ALL), st AS (SELECT term, count(*) AS df FROM p GROUP BY term), dl AS (SELECT id, sum(tf) AS dl FROM p GROUP BY id), fs AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
+q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({TOK}[1:6]) AS term FROM u) GROUP BY ALL), {SC}, {top_sql(50)}, qa AS (SELECT qid, id FROM a WHERE qid IN (SELECT qid FROM u))"""
+
+
+def _qa(spark, d):
+    asked, given = _answers(spark, d)
+    p = index.postings(given, {"body": "body"}, "id")
+    run = rank.search(p, index.query_terms(asked, "qid", "question", first=6), 50)
+    return run, given.join(asked.select("qid"), "qid", "left_semi").select("qid", "id")
+
+
+@query(f"WITH {_QA} SELECT qa.qid, coalesce(rank, 0) AS rank, {r6('coalesce(1.0 / rank, 0)')} AS rr FROM qa LEFT JOIN r ON r.qid = qa.qid AND r.id = qa.id")
+def qa_accepted_rank(spark, d):
+    run, item = _qa(spark, d)
+    return metrics.known_item(run, item).select("qid", "rank", "rr")
+
+
+@query(f"WITH {_QA}, q2 AS (SELECT qid, id FROM qa UNION SELECT qid, id + 2 FROM qa), n AS (SELECT qid, count(*) AS n FROM q2 GROUP BY qid), h AS (SELECT q2.qid, min(rank) AS fr, count(rank) AS h, count(rank) FILTER (rank <= 20) AS h20, count(rank) FILTER (rank <= 21) AS h21 FROM q2 LEFT JOIN r ON r.qid = q2.qid AND r.id = q2.id GROUP BY q2.qid) SELECT qid, {r6('coalesce(1.0 / fr, 0)')} AS rr, {r6('h / n')} AS recall, h20 / 20.0e0 AS p20, h21 / 20.0e0 AS p20_ref FROM n JOIN h USING (qid)")
+def qa_multi_answer_recall(spark, d):
+    run, item = _qa(spark, d)
+    both = item.union(item.select("qid", F.col("id") + 2)).distinct().withColumn("rel", F.lit(1))
+    return metrics.answers(run, both)
+
+
+# ---------------------------------------------------------------- sampling
+
+_U = "CAST(('0x' || substr(md5({0}), 1, 13)) AS BIGINT) / 4503599627370496.0e0"
+
+
+@query("WITH i AS (SELECT user_id AS id, unnest(range(1, n + 1)) AS i FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)), s AS (SELECT id FROM i ORDER BY substr(md5('1|' || id || '|' || i), 1, 13), id, i LIMIT 2000) SELECT id, count(*) AS sampled FROM s GROUP BY id")
+def sample_without_replacement(spark, d):
+    return sampling.without_replacement(t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "n", 2000)
+
+
+@query()
+def sample_with_replacement(spark, d):
+    return sampling.with_replacement(t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "n", 2000)
+
+
+@query("SELECT doc_id, CAST((row_number() OVER (PARTITION BY quality ORDER BY md5('1|' || doc_id), doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels")
+def stratified_folds(spark, d):
+    return sampling.folds(t(spark, d, "labels"), "doc_id", "quality", 5).select("doc_id", "fold")
+
+
+@query("SELECT c_custkey FROM customer ORDER BY md5('1|' || c_custkey), c_custkey LIMIT 100")
+def seeded_shuffle(spark, d):
+    return sampling.shuffled(t(spark, d, "customer").select("c_custkey"), "c_custkey", 100)
+
+
+# ---------------------------------------------------------------- learning and statistics
+
+
+@query("SELECT s_suppkey, round((s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()), 9) AS s_acctbal FROM supplier")
+def minmax_scale(spark, d):
+    return learn.minmax(t(spark, d, "supplier").select("s_suppkey", "s_acctbal"), ["s_acctbal"]).withColumn("s_acctbal", F.round("s_acctbal", 9))
+
+
+@query("WITH x AS (SELECT (l_returnflag = 'R')::INT AS y, (l_discount > 0.05)::INT AS p, l_quantity AS w FROM lineitem), c AS (SELECT sum(w) FILTER (y = 1 AND p = 1) AS tp, sum(w) FILTER (y = 0 AND p = 1) AS fp, sum(w) FILTER (y = 1 AND p = 0) AS fn, sum(w) FILTER (y = 0 AND p = 0) AS tn FROM x) SELECT round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(tn / (tn + fn), 6) AS npv, round(tn / (tn + fp), 6) AS tnr, round((tp + fp) / (tp + fp + fn + tn), 6) AS positive_share FROM c")
+def confusion_stats(spark, d):
+    x = t(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_discount") > 0.05).cast("int").alias("p"), "l_quantity")
+    return metrics.confusion(x, "y", "p", "l_quantity")
+
+
+@query("WITH m AS (SELECT sum(l_linenumber) AS n, sum(l_quantity * l_linenumber) / sum(l_linenumber) AS mx, sum(l_discount * l_linenumber) / sum(l_linenumber) AS my, sum(l_quantity * l_quantity * l_linenumber) AS xx, sum(l_discount * l_discount * l_linenumber) AS yy FROM lineitem) SELECT round(mx, 6) AS mean_x, round(my, 6) AS mean_y, round((mx - my) / sqrt((xx / n - mx * mx) / n + (yy / n - my * my) / n), 4) AS t FROM m")
+def ttest_stat(spark, d):
+    return learn.weighted_t(t(spark, d, "lineitem"), "l_quantity", "l_discount", "l_linenumber").withColumn("t", F.round("t", 4))
+
+
+@query("SELECT count(*) AS n, round(avg(l_quantity - l_tax), 6) AS mean_diff, round(avg(l_quantity - l_tax) / (stddev_samp(l_quantity - l_tax) / sqrt(count(*))), 4) AS t FROM lineitem")
+def paired_ttest(spark, d):
+    return learn.paired_t(t(spark, d, "lineitem"), "l_quantity", "l_tax").withColumn("t", F.round("t", 4))
+
+
+def _training(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "n_chars", F.size(T.tokens("text")).alias("words"), F.size(F.array_distinct(T.tokens("text"))).alias("kinds"), F.length(F.regexp_replace("text", r"[\p{L}\p{N}\s]", "")).alias("marks"), "lang")
+    return docs.join(t(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("label")), "doc_id")
+
+
+@query()
+def cache_classifier(spark, d):
+    data = learn.balanced(_training(spark, d).withColumn("label", F.col("label").cast("double")), "label")
+    model = learn.classifier(["n_chars", "words", "kinds", "marks"], weight="weight").fit(data)
+    return learn.threshold_grid(learn.predict(model, data), "label", [0.3, 0.5, 0.7])
+
+
+@query()
+def popularity_regression(spark, d):
+    data = learn.prepare(_training(spark, d).withColumn("label", F.col("words").cast("double")), "lang", ["n_chars", "kinds", "marks"], 3)
+    got = learn.regressors()["ridge"].fit(data).transform(data)
+    return got.select("doc_id", F.round("prediction", 3).alias("prediction"))
+
+
+# ---------------------------------------------------------------- keyword search over relations
+
+
+def _shop():
+    rel = {"part": networks.Relation("part", "p_partkey", ("p_name", "p_type")), "lineitem": networks.Relation("lineitem", "l_id"), "supplier": networks.Relation("supplier", "s_suppkey", ("s_name",))}
+    return networks.Schema(rel, [networks.ForeignKey("lineitem", "l_partkey", "part", "p_partkey"), networks.ForeignKey("lineitem", "l_suppkey", "supplier", "s_suppkey")])
+
+
+def _shop_tables(spark, d):
+    li = t(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("l_id"), "l_partkey", "l_suppkey")
+    return {"part": t(spark, d, "part").select("p_partkey", "p_name", "p_type"), "lineitem": li, "supplier": t(spark, d, "supplier").select("s_suppkey", "s_name")}
+
+
+def _keywords(spark):
+    return spark.createDataFrame([(1, "green"), (1, "3"), (2, "steel"), (2, "7")], "qid int, term string").withColumn("qtf", F.lit(1))
+
+
+def _tuple_sets(spark, d):
+    tabs, q = _shop_tables(spark, d), _keywords(spark)
+    part = index.postings(tabs["part"].select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text")), {"text": "text"}, "p_partkey")
+    sup = index.postings(tabs["supplier"].withColumn("text", F.regexp_replace("s_name", "#0*", " ")), {"text": "text"}, "s_suppkey")
+    return {"part": networks.tuple_set(part, q, 50), "supplier": networks.tuple_set(sup, q, 50)}
+
+
+@query()
+def cn_search_topn(spark, d):
+    return networks.search(_shop(), _shop_tables(spark, d), _tuple_sets(spark, d), 2, 20, 4)
+
+
+def _ts_sql(name: str, table: str, key: str, text: str) -> str:
+    return f"{name}p AS (SELECT {key} AS id, term, count(*) AS tf FROM (SELECT {key}, unnest({_TOK.format(text)}) AS term FROM {table}) GROUP BY ALL), {name}st AS (SELECT term, count(*) AS df FROM {name}p GROUP BY term), {name}dl AS (SELECT id, sum(tf) AS dl FROM {name}p GROUP BY id), {name}fs AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM {name}dl), {name}s AS (SELECT qid, p.id, round(sum({BM25}), 6) AS score FROM q JOIN {name}p p USING (term) JOIN {name}st USING (term) JOIN {name}dl dl ON dl.id = p.id, {name}fs GROUP BY qid, p.id), {name} AS (SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rn FROM {name}s) WHERE rn <= 50)"
+
+
+_CN = f"q AS (SELECT * FROM (VALUES (1, 'green'), (1, '3'), (2, 'steel'), (2, '7')) v(qid, term)), {_ts_sql('tp', 'part', 'p_partkey', 'concat_ws($$ $$, p_name, p_type)'.replace('$$', chr(39)))}, {_ts_sql('tsu', 'supplier', 's_suppkey', 'regexp_replace(s_name, $$#0*$$, $$ $$, $$g$$)'.replace('$$', chr(39)))}"
+
+
+@query(f"WITH {_CN} SELECT qid, 'part' AS rel, id, score FROM tp UNION ALL SELECT qid, 'supplier', id, score FROM tsu")
+def cn_tuple_sets(spark, d):
+    sets = _tuple_sets(spark, d)
+    return relational.reduce(DataFrame.unionByName, [s.select("qid", F.lit(r).alias("rel"), "id", "score") for r, s in sets.items()])
+
+
+@query(f"WITH {_CN} SELECT tp.qid, l_orderkey * 10 + l_linenumber AS l_id, tp.id AS part, tsu.id AS supplier, round((tp.score + tsu.score) / 3, 6) AS score FROM tp JOIN lineitem ON l_partkey = tp.id JOIN tsu ON l_suppkey = tsu.id AND tp.qid = tsu.qid")
+def cn_single_network(spark, d):
+    schema = _shop()
+    one = next(n for n in networks.networks(schema, {"part", "supplier"}, 2, 2) if n.size() == 2 and {r for r, b in n.nodes if b} == {"part", "supplier"})
+    got = networks.plan(one, schema, _shop_tables(spark, d), _tuple_sets(spark, d))
+    pick = lambda r: F.element_at(F.filter("ids", lambda x: x["rel"] == r), 1)["id"]
+    return got.select("qid", pick("lineitem").alias("l_id"), pick("part").alias("part"), pick("supplier").alias("supplier"), "score")
+
+
+@query()
+def cn_stats(spark, d):
+    found = networks.networks(_shop(), {"part", "supplier"}, 2, 5)
+    return spark.createDataFrame(networks.statistics(found), "joins int, bound int, networks int")
+
+
+@query("SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name || ' ' || p_type), ' '), 'green')")
+def all_keywords_filter(spark, d):
+    return t(spark, d, "part").where(T.all_keywords(F.concat_ws(" ", "p_name", "p_type"), F.array(F.lit("GREEN")))).select("p_partkey")
+
+
+# ---------------------------------------------------------------- stream counterpart
+
+
+@query("SELECT date_trunc('day', ts) AS day, user_id, count(*) AS n FROM events GROUP BY ALL")
+def windowed_popularity(spark, d):
+    from ..streaming.popularity import windowed_counts
+
+    return windowed_counts(t(spark, d, "events")).select(F.col("window.start").alias("day"), "user_id", "n")
