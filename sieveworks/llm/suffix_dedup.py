@@ -14,7 +14,7 @@ minimizers with more than ``hot`` different stretches are compared window by win
 pre-aggregated join instead of in one task.
 
 Defined results: null text is empty; windows never cross documents; rows of one id do not remove
-each other's bytes; a row with a null id stays whole and removes nothing; repeated rows pass one to
+each other's bytes and are cut each by its own text; a row with a null id stays whole and removes nothing; repeated rows pass one to
 one; an empty table gives no rows.  Ids are integers.
 """
 
@@ -255,14 +255,14 @@ def _verdicts(announced: DataFrame, hot: int, width: int) -> DataFrame:
 
 
 def _apply(told: DataFrame, length: int) -> DataFrame:
-    """(id, act, minimizer, start, bytes): REMOVE rows hold packed window ranges, SEARCH rows a stretch, SPREAD rows one window."""
+    """(id, hash, act, minimizer, start, bytes): REMOVE rows hold packed window ranges, SEARCH rows a stretch, SPREAD rows one window."""
     kind = np.dtype([("min", "<u8"), ("more", "<u2"), ("act", "u1")])
-    names = ["id", "act", "minimizer", "start", "bytes"]
-    kinds = [pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["id", "hash", "act", "minimizer", "start", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
         for b in batches:
-            ids, texts, verdicts = (c.to_pylist() for c in b.columns)
+            ids, hashes, texts, verdicts = (c.to_pylist() for c in b.columns)
             for lo, hi in chunks(texts, 1 << 20):
                 raws = [_raw(t) for t in texts[lo:hi]]
                 text, a, z, minimizer, content = stretches(raws, length)
@@ -272,9 +272,7 @@ def _apply(told: DataFrame, length: int) -> DataFrame:
                 for i in range(len(raws)):
                     v = np.frombuffer(b"".join(verdicts[lo + i]), kind)
                     s = slice(cut[i], cut[i + 1])
-                    # sort the verdicts by key and more, find each stretch's
-                    order = np.lexsort((v["more"], v["min"]))
-                    v = v[order]
+                    me = ids[lo + i], hashes[lo + i]
                     both = v["min"] * np.uint64(0x9E3779B97F4A7C15) + v["more"]
                     mine = key[s] * np.uint64(0x9E3779B97F4A7C15) + more[s]
                     by = np.argsort(both)
@@ -283,35 +281,38 @@ def _apply(told: DataFrame, length: int) -> DataFrame:
                     lost = act == REMOVE
                     if lost.any():
                         p, q = runs(a[s][lost], z[s][lost] + length)
-                        rows.append((ids[lo + i], REMOVE, 0, 0, np.stack([p, q], 1).astype("<i8").tobytes()))
+                        rows.append((*me, REMOVE, 0, 0, np.stack([p, q], 1).astype("<i8").tobytes()))
                     for j in np.flatnonzero(act == SEARCH):
                         x, y = int(a[s][j]), int(z[s][j])
-                        rows.append((ids[lo + i], SEARCH, int(minimizer[s][j]), x, raws[i][x : y + length]))
+                        rows.append((*me, SEARCH, int(minimizer[s][j]), x, raws[i][x : y + length]))
                     for j in np.flatnonzero(act == SPREAD):
                         for x in range(int(a[s][j]), int(z[s][j]) + 1):
-                            rows.append((ids[lo + i], SPREAD, int(minimizer[s][j]), x, raws[i][x : x + length]))
+                            rows.append((*me, SPREAD, int(minimizer[s][j]), x, raws[i][x : x + length]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return told.mapInArrow(run, "id long, act byte, minimizer long, start long, bytes binary")
+    return told.mapInArrow(run, "id long, hash long, act byte, minimizer long, start long, bytes binary")
 
 
 def _search(rows: DataFrame, length: int, width: int, batch_bytes: int = 1 << 20) -> DataFrame:
-    """(id, gone): packed byte ranges to remove, found by the transforms; a minimizer's stretches stay together."""
+    """(id, hash, gone): packed byte ranges to remove, found by the transforms; a minimizer's stretches stay together."""
 
     def judge(rows):
         owner = np.array([r[1] for r in rows])
-        number, offset = repeated_windows([r[3] for r in rows], owner, length)
-        start = np.array([r[2] for r in rows])[number] + offset
-        doc = owner[number]
-        order = np.argsort(doc, kind="stable")
-        doc, start = doc[order], start[order]
-        cuts = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else []
+        number, offset = repeated_windows([r[4] for r in rows], owner, length)
+        start = np.array([r[3] for r in rows])[number] + offset
+        doc, text = owner[number], np.array([r[2] for r in rows])[number]
+        order = np.lexsort((text, doc))
+        doc, text, start = doc[order], text[order], start[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+        cuts = np.flatnonzero(new)
         out = []
         for x, y in zip(cuts, np.append(cuts[1:], len(doc))):
             p, q = runs(start[x:y], start[x:y] + length)
-            out.append((int(doc[x]), np.stack([p, q], 1).astype("<i8").tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([g for _, g in out], pa.binary())], ["id", "gone"])
+            out.append((int(doc[x]), int(text[x]), np.stack([p, q], 1).astype("<i8").tobytes()))
+        cols = list(zip(*out)) if out else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], ["id", "hash", "gone"])
 
     def run(batches):
         held, size = [], 0
@@ -321,31 +322,39 @@ def _search(rows: DataFrame, length: int, width: int, batch_bytes: int = 1 << 20
                     yield judge(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield judge(held)
 
-    own = rows.where(F.col("act") == SEARCH).select("minimizer", "id", "start", "bytes")
-    return own.repartition(width, "minimizer").sortWithinPartitions("minimizer").mapInArrow(run, "id long, gone binary")
+    own = rows.where(F.col("act") == SEARCH).select("minimizer", "id", "hash", "start", "bytes")
+    return own.repartition(width, "minimizer").sortWithinPartitions("minimizer").mapInArrow(run, "id long, hash long, gone binary")
 
 
 def removed_ranges(docs: DataFrame, length: int = 50, hot: int = 20000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, gone array<binary>): per document packed (start, end) byte ranges to remove; they may overlap."""
+    """(id, hash, gone array<binary>): per id and text hash packed (start, end) byte ranges to remove; they may overlap."""
     width = shuffle_width(docs.sparkSession)
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     long_enough = known.where(F.octet_length("text") >= length)
     announced = _announce(long_enough, length, 8 * width)
     verdicts = _verdicts(announced, hot, width).groupBy("id").agg(F.collect_list("verdict").alias("verdict"))
-    told = long_enough.join(verdicts, "id").select("id", "text", "verdict")
+    told = long_enough.join(verdicts, "id").select("id", F.xxhash64("text").alias("hash"), "text", "verdict")
     rows = materialize(_apply(told, length), "stretches")
     found = _search(rows, length, width)
-    spread = rows.where(F.col("act") == SPREAD).select("id", "start", F.xxhash64("bytes").alias("x"), F.xxhash64("bytes", F.lit(1)).alias("y"))
+    spread = rows.where(F.col("act") == SPREAD).select("id", "hash", "start", F.xxhash64("bytes").alias("x"), F.xxhash64("bytes", F.lit(1)).alias("y"))
     first = spread.groupBy("x", "y").agg(F.min("id").alias("first"))
-    late = spread.join(first, ["x", "y"]).where("id > first").select("id", "start")
-    pack = lambda v: F.expr(f"reverse(unhex(lpad(hex({v}), 16, '0')))")
-    spread_gone = late.select("id", F.concat(pack("start"), pack(f"start + {length}")).alias("gone"))
-    gone = rows.where(F.col("act") == REMOVE).select("id", F.col("bytes").alias("gone")).union(found).union(spread_gone)
-    return gone.groupBy("id").agg(F.collect_list("gone").alias("gone"))
+    late = spread.join(first, ["x", "y"]).where("id > first").select("id", "hash", "start")
+
+    def pack(batches):
+        for b in batches:
+            out = []
+            for starts in b.column(2).to_pylist():
+                p, q = runs(np.array(starts), np.array(starts) + length)
+                out.append(np.stack([p, q], 1).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["id", "hash", "gone"])
+
+    spread_gone = late.groupBy("id", "hash").agg(F.collect_list("start").alias("starts")).mapInArrow(pack, "id long, hash long, gone binary")
+    gone = rows.where(F.col("act") == REMOVE).select("id", "hash", F.col("bytes").alias("gone")).union(found).union(spread_gone)
+    return gone.groupBy("id", "hash").agg(F.collect_list("gone").alias("gone"))
 
 
 def cut(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
@@ -353,8 +362,10 @@ def cut(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col: st
 
     Bytes are cut, so a cut may halve a character; ``as_text`` drops such halves.
     """
-    joined = docs.join(ranges.withColumnRenamed("id", "_id"), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
-    joined = joined.withColumnRenamed("gone", "_gone") if as_text else joined.select(id_col, text_col, F.col("gone").alias("_gone"))
+    gone = ranges.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("gone").alias("_gone"))
+    if not as_text:
+        docs = docs.select(id_col, text_col)
+    joined = docs.join(gone, (docs[id_col].cast("long") == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_hash"]), "left").drop("_id", "_hash")
     fields = [f for f in joined.schema.fields if f.name != "_gone"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) if as_text else f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     at, gone_at = joined.columns.index(text_col), joined.columns.index("_gone")
