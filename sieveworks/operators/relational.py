@@ -103,7 +103,8 @@ def running_first(df: DataFrame, part: str, order: str, value: str) -> DataFrame
 
 def unique_columns(df: DataFrame) -> DataFrame:
     """df without columns whose values equal an earlier column's in every row; one aggregation over all columns."""
-    sums = df.agg(*[F.sum(F.xxhash64(F.col(c).cast("string"), F.monotonically_increasing_id()).cast("decimal(38,0)")).alias(c) for c in df.columns]).first()
+    numbered = df.withColumn("_n", F.monotonically_increasing_id())
+    sums = numbered.agg(*[F.sum(F.xxhash64(F.col(c).cast("string"), "_n").cast("decimal(38,0)")).alias(c) for c in df.columns]).first()
     kept: dict = {}
     for c in df.columns:
         kept.setdefault(sums[c], c)

@@ -38,7 +38,7 @@ def encyclopedia_09(files: DataFrame) -> DataFrame:
 
 def node_texts(x: Column, path: str) -> Column:
     """Trimmed non-empty text nodes under path, joined by blanks."""
-    return F.array_join(F.filter(F.transform(F.xpath(x, F.lit(f"{path}//text()")), lambda t: F.trim(t)), lambda t: t != ""), " ")
+    return F.array_join(F.filter(F.transform(F.xpath(x, F.lit(f"{path}//text()")), lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))), lambda t: t != ""), " ")
 
 
 def node_text(x: Column, tag: str) -> Column:

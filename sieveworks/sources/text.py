@@ -125,7 +125,7 @@ def query_blocks(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     block = raw.select(F.explode(F.expr(r"regexp_extract_all(value, r'(?s)# (\d+ -+.*?)(?=# \d+ --|\z)', 1)")).alias("b"))
     freq = F.aggregate(F.expr(r"regexp_extract_all(b, r'# frequency : (\d+)', 1)"), F.lit(0), lambda s, x: s + x.cast("int"))
-    return block.select(F.regexp_extract("b", r"^(\d+)", 1).cast("int").alias("id"), F.trim(F.regexp_extract("b", r"# entityID : [^\n]*\n([^\n]*)", 1)).alias("text"), freq.alias("freq"), F.expr(r"transform(regexp_extract_all(b, r'# wikiID : ([^\n]+)', 1), x -> trim(x))").alias("wiki_ids"))
+    return block.select(F.regexp_extract("b", r"^(\d+)", 1).cast("int").alias("id"), F.trim(F.regexp_extract("b", r"# entityID :[^\n]*\n([^\n]*)", 1)).alias("text"), freq.alias("freq"), F.expr(r"transform(regexp_extract_all(b, r'# wikiID : ([^\n]+)', 1), x -> trim(x))").alias("wiki_ids"))
 
 
 def qid_lookup(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
