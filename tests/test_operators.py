@@ -194,3 +194,27 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.sql("SELECT user_id, n FROM counts")) == [(1, 2), (2, 1)]
+
+
+def test_experiments(spark):
+    from sieveworks.plans import experiments as X
+
+    d = spark.createDataFrame([(1, "a a b", 5), (2, "b c", 9), (3, "a c", 1), (4, "c", 0)], "id long, text string, w int")
+    p = index.postings(d, {"content": "text"}, "id")
+    q = index.query_terms(spark.createDataFrame([(7, "a b")], "qid int, t string"), "qid", "t")
+    rel = spark.createDataFrame([(7, 1, 1), (7, 3, 1)], "qid int, id long, rel int")
+    buckets = subset.nested_buckets(d, "w", "id", 2)
+    got = {(r.part, r.qid): (r.p, r.rr) for r in X.subset_effectiveness(X.subset_runs(p, q, buckets, 2), rel, 10).collect()}
+    assert got == {(1, 7): (0.1, 1.0), (2, 7): (0.2, 1.0)}
+    assert rows(X.index_subset(d, "w", "id", {"content": "text"}, 1, 2).select("id").distinct()) == [(1,), (2,)]
+    assert rows(X.boost_shares(p, q, rel, ["content"])) == [("content", 1.0)]
+    log = spark.createDataFrame([(1, "x", 10)], "qid int, text string, freq int")
+    assert X.split_distributions(log, 0.5).selectExpr("train + test").first()[0] == 10
+    ltr = spark.createDataFrame([(1, f"u{i}", float(10 - i), r, c) for i, (r, c) in enumerate([(5, 9), (0, 8), (4, 1)])], "qid int, url_id string, bm25 double, rel int, clicks int")
+    assert [(r.part, r.mrr) for r in X.ltr_subsets(ltr, 3).orderBy("part").collect()] == [(1, 1.0), (2, 1.0), (3, 1.0)]
+    train = spark.createDataFrame([(3, 2), (3, 1)], "id long, freq int")
+    assert X.weighted_partition(d, train, "id", 0.5, 1).first().id == 3
+    fb = spark.createDataFrame([("m1", "Batman movie"), ("m2", "x")], "fbid string, text string")
+    assert X.schema_capacity(fb, fb, "movie", True).first().semantic_type == "movie"
+    tokens = difficulty.query_tokens(spark.createDataFrame([(7, "a b")], "qid int, t string"), "qid", "t")
+    assert rows(X.cache_or_full(tokens, p.where("id = 1"), p.where("id > 1"), p)) == [(7, 1)]
