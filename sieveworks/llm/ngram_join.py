@@ -4,8 +4,8 @@ Documents are sets of word n-grams.  Equal sets form one class first; only one r
 each goes on.  A set is embedded as ``SKETCH`` min-wise tokens.  A run starts by splitting all sets
 by a sampled token (sets that agree on it share a bucket) and splits buckets again by further
 sampled tokens until they are small; small buckets are compared by brute force on the sketches.
-A large bucket whose members are all like its first member needs no further split, they are linked
-to that member; so groups of near copies cost a row per member.  Runs are repeated until a pair at
+In a large bucket the members like its first member are linked to it, and only buckets
+with members that aren't linked yet are split further; so groups of near copies cost a row per member.  Runs are repeated until a pair at
 the threshold is found with probability ``recall``; a node samples 1.25 tokens on average, which at
 similarity 0.8 keeps the expected number of shared children at one.
 
@@ -148,24 +148,33 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, limit: int
             taken += 1
     token = lambda j: F.element_at("sketch", j + 1)
     nodes = reps.select("id", F.explode(F.array(*[F.xxhash64(F.lit(r), F.lit(j), token(j)) for r, j in start])).alias("key"))
-    edges = None
+    sizes = nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    live = materialize(nodes.join(sizes, "key"), "live")
+    # similar sets meet in most runs: equal small buckets are compared once
+    small = live.where(F.col("n") <= limit).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    small = small.select(F.xxhash64("ids").alias("key"), F.explode("ids").alias("id")).join(reps, "id")
+    edges = _brute_force(small, agree)
+    # tag: sets with one tag are known to be in one candidate group
+    large = live.where(F.col("n") > limit).join(reps, "id").select("key", "id", "sketch", F.col("id").alias("tag"))
     for depth in range(MAX_DEPTH + 1):
-        sizes = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-        live = materialize(nodes.join(sizes, "key").join(reps.select("id", "sketch"), "id"), "live")
-        found = _brute_force(live.where(F.col("n") <= limit), agree)
-        large = live.where(F.col("n") > limit).join(reps.select(F.col("id").alias("pivot"), F.col("sketch").alias("first")), "pivot")
-        like = F.aggregate(F.zip_with("sketch", "first", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) >= agree
-        large = materialize(large.select("key", "id", "pivot", "sketch", (like | F.lit(depth == MAX_DEPTH)).alias("like")), "large")
-        found = found.union(large.where("like AND id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-        edges = found if edges is None else edges.union(found)
-        mixed = large.groupBy("key").agg(F.min("like").alias("all")).where("NOT all").select("key")
-        if depth == MAX_DEPTH or large.isEmpty():
-            return edges
+        first = large.groupBy("key").agg(F.min("id").alias("pivot"), F.min_by(F.struct("sketch", "tag"), "id").alias("first"))
+        like = F.aggregate(F.zip_with("sketch", "first.sketch", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) >= agree
+        judged = large.join(first, "key").withColumn("like", like | F.lit(depth == MAX_DEPTH))
+        judged = materialize(judged.select("key", "id", "sketch", "pivot", "like", F.when(F.col("like"), F.col("first.tag")).otherwise(F.col("tag")).alias("tag")), "judged")
+        edges = edges.union(judged.where("like AND id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        mixed = judged.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key")
         pick = lambda salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(SKETCH)).cast("int") + 1
         child = lambda salt: F.xxhash64("key", pick(salt), F.element_at("sketch", pick(salt)))
         second = F.when(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(4)) == 0, child(2))
-        keys = F.explode(F.array_compact(F.array(child(1), second)))
-        nodes = materialize(large.join(mixed, "key", "left_semi").select("id", keys.alias("key")).distinct(), "nodes")
+        keys = F.array_distinct(F.array_compact(F.array(child(1), second)))
+        nodes = judged.join(mixed, "key", "left_semi").select(F.explode(keys).alias("key"), "id", "sketch", "tag")
+        # a bucket with one tag has nothing left to find
+        sizes = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key", "n")
+        live = materialize(nodes.join(sizes, "key"), "live")
+        if live.isEmpty():
+            break
+        edges = edges.union(_brute_force(live.where(F.col("n") <= limit), agree))
+        large = live.where(F.col("n") > limit).drop("n")
     return edges
 
 
@@ -211,7 +220,8 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 1
     members = members.join(size, "grp").withColumn("blocks", width).withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int"))
     members = materialize(members.select("grp", "id", "h1", "h2", "copy_id", "copies", "blocks", "block"), "members")
     # the whole sets of the candidates, from their texts; only one row of each set is needed
-    source = docs.select(F.col(id_col).alias("copy_id"), F.col(text_col).alias("text")).join(members, "copy_id")
+    # the candidates grow with the documents, so this join is always a merge of two shuffled sides
+    source = docs.select(F.col(id_col).alias("copy_id"), F.col(text_col).alias("text")).join(members.hint("merge"), "copy_id")
 
     def to_sets(batches):
         names = ["id", "grp", "block", "blocks", "copies", "tokens"]
