@@ -50,16 +50,20 @@ class Schema:
         pairs = list(zip(rest[::2], rest[1::2]))
         return cls({r: Relation(r, "id") for r in names}, [ForeignKey(a, f"{b}_id", b, "id") for a, b in pairs])
 
-    def edges(self, name: str) -> list[tuple[int, ForeignKey, str]]:
-        """(number, key, neighbour) of the foreign keys at a relation, both directions."""
+    def edges(self, name: str) -> list[tuple[int, str, bool]]:
+        """(number, neighbour, is name the referencing side?) of the foreign keys at a relation, both directions."""
         out = []
         for i, k in enumerate(self.keys):
             if k.source == name:
-                out.append((i, k, k.target))
+                out.append((i, k.target, True))
             if k.target == name:
-                out.append((i, k, k.source))
+                out.append((i, k.source, False))
         return out
 
+    def many_to_many(self, a: str, b: str) -> bool:
+        """Whether some relation references both."""
+        return any(x.source == y.source and (x.target, y.target) == (a, b) for x in self.keys for y in self.keys if x is not y)
+
 
 @dataclass(frozen=True)
 class Network:
@@ -124,17 +128,12 @@ def networks(schema: Schema, with_tuples: set[str], n_keywords: int, max_joins:
             if n.size() >= max_joins:
                 continue
             for v, (rel, _) in enumerate(n.nodes):
-                for k, fk, other in schema.edges(rel):
-                    for forward in {fk.source == rel, not (fk.target == rel)}:
-                        if (forward and fk.source != rel) or (not forward and fk.target != rel):
-                            continue
-                        used = any(e[2] == k and ((e[0] == v and e[3]) or (e[1] == v and not e[3])) for e in n.edges)
-                        if forward and used:
-                            continue
-                        to = fk.target if forward else fk.source
-                        for is_bound in {False, to in with_tuples}:
-                            if is_bound and n.bound >= n_keywords:
-                                continue
+                for k, to, forward in schema.edges(rel):
+                    # two neighbours through one foreign key of a variable would be the same tuple
+                    if forward and any(e[2] == k and ((e[0] == v and e[3]) or (e[1] == v and not e[3])) for e in n.edges):
+                        continue
+                    for is_bound in {False, to in with_tuples}:
+                        if not is_bound or n.bound < n_keywords:
                             grown.append(Network((*n.nodes, (to, is_bound)), (*n.edges, (v, len(n.nodes), k, forward))))
         level = grown
     return out
@@ -154,6 +153,12 @@ def tuple_set(post: DataFrame, query: DataFrame, cap: int = 1000, cut: bool = Fa
     return (rank.relative_cut(run) if cut else run).select("qid", "id", "score")
 
 
+def rarest_keyword(post: DataFrame, query: DataFrame) -> DataFrame:
+    """(qid, term): each query's keyword in the fewest tuples, ties to the smaller word."""
+    df = query.select("qid", "term").join(post.groupBy("term").agg(F.count_distinct("id").alias("n")), "term", "left")
+    return df.groupBy("qid").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+
+
 def exact_keyword_sets(post: DataFrame, query: DataFrame) -> DataFrame:
     """(qid, id, keywords): exactly the query's keywords that a tuple holds."""
     return post.join(query.select("qid", "term"), "term").groupBy("qid", "id").agg(F.array_sort(F.collect_set("term")).alias("keywords"))
