@@ -153,7 +153,7 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, limit: int
     # similar sets meet in most runs: equal small buckets are compared once
     small = live.where(F.col("n") <= limit).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids").distinct()
     small = small.select(F.xxhash64("ids").alias("key"), F.explode("ids").alias("id")).join(reps, "id")
-    edges = _brute_force(small, agree)
+    edges = materialize(_brute_force(small, agree), "found")
     # tag: sets with one tag are known to be in one candidate group
     large = live.where(F.col("n") > limit).join(reps, "id").select("key", "id", "sketch", F.col("id").alias("tag"))
     for depth in range(MAX_DEPTH + 1):
@@ -162,6 +162,10 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, limit: int
         judged = large.join(first, "key").withColumn("like", like | F.lit(depth == MAX_DEPTH))
         judged = materialize(judged.select("key", "id", "sketch", "pivot", "like", F.when(F.col("like"), F.col("first.tag")).otherwise(F.col("tag")).alias("tag")), "judged")
         edges = edges.union(judged.where("like AND id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        if depth in (0, 2) and not judged.isEmpty():
+            # what all runs have linked so far counts in every bucket: a group of near copies is known by now
+            label = components(edges).select("id", "label")
+            judged = materialize(judged.join(label, "id", "left").withColumn("tag", F.coalesce("label", "tag")).drop("label"), "judged")
         mixed = judged.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key")
         pick = lambda salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(SKETCH)).cast("int") + 1
         child = lambda salt: F.xxhash64("key", pick(salt), F.element_at("sketch", pick(salt)))
@@ -173,7 +177,7 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, limit: int
         live = materialize(nodes.join(sizes, "key"), "live")
         if live.isEmpty():
             break
-        edges = edges.union(_brute_force(live.where(F.col("n") <= limit), agree))
+        edges = edges.union(materialize(_brute_force(live.where(F.col("n") <= limit), agree), "found"))
         large = live.where(F.col("n") > limit).drop("n")
     return edges
 
