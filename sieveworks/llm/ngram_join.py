@@ -166,12 +166,11 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, limit: int
             # what all runs have linked so far counts in every bucket: a group of near copies is known by now
             label = components(edges).select("id", "label")
             judged = materialize(judged.join(label, "id", "left").withColumn("tag", F.coalesce("label", "tag")).drop("label"), "judged")
-        mixed = judged.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key")
         pick = lambda salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(SKETCH)).cast("int") + 1
         child = lambda salt: F.xxhash64("key", pick(salt), F.element_at("sketch", pick(salt)))
         second = F.when(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(4)) == 0, child(2))
         keys = F.array_distinct(F.array_compact(F.array(child(1), second)))
-        nodes = judged.join(mixed, "key", "left_semi").select(F.explode(keys).alias("key"), "id", "sketch", "tag")
+        nodes = judged.select(F.explode(keys).alias("key"), "id", "sketch", "tag")
         # a bucket with one tag has nothing left to find
         sizes = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key", "n")
         live = materialize(nodes.join(sizes, "key"), "live")
