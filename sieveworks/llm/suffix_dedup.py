@@ -170,6 +170,15 @@ def _raw(text: str | None) -> bytes:
 _HEAD = np.dtype([("min", "<u8"), ("more", "<u2"), ("doc", "<u2")])  # 36 bits of minimizer and 28 of content; 16 more; number of the document
 
 
+def _planes(head: np.ndarray) -> bytes:
+    """Byte by byte over all rows: keys are in order, so that their leading bytes hardly change and compress well."""
+    return np.ascontiguousarray(head.view(np.uint8).reshape(-1, _HEAD.itemsize).T).tobytes()
+
+
+def _heads(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(_HEAD.itemsize, -1).T).view(_HEAD).ravel()
+
+
 def _keys(minimizer: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return minimizer << np.uint64(28) | content >> np.uint64(36), (content >> np.uint64(20) & np.uint64(0xFFFF)).astype(np.uint16)
 
@@ -201,7 +210,7 @@ def _announce(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                         used, number = np.unique(doc[x:y], return_inverse=True)
                         part = head[x:y].copy()
                         part["doc"] = number
-                        rows.append((int(bucket[x]), ids[lo2 + used].astype("<i8").tobytes(), part.tobytes()))
+                        rows.append((int(bucket[x]), ids[lo2 + used].astype("<i8").tobytes(), _planes(part)))
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "ids", "heads"])
 
     return docs.mapInArrow(run, "bucket int, ids binary, heads binary")
@@ -212,8 +221,9 @@ def _verdicts(announced: DataFrame, hot: int, width: int) -> DataFrame:
     kind = np.dtype([("min", "<u8"), ("more", "<u2"), ("act", "u1")])
 
     def judge(parts):
-        ids = np.concatenate([np.frombuffer(i, "<i8")[np.frombuffer(h, _HEAD)["doc"]] for i, h in parts])
-        head = np.concatenate([np.frombuffer(h, _HEAD) for _, h in parts])
+        heads = [_heads(h) for _, h in parts]
+        ids = np.concatenate([np.frombuffer(i, "<i8")[h["doc"]] for (i, _), h in zip(parts, heads)])
+        head = np.concatenate(heads)
         order = np.lexsort((ids, head["more"], head["min"]))
         ids, key, more = ids[order], head["min"][order], head["more"][order]
         group = key >> np.uint64(28)
