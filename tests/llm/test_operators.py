@@ -361,6 +361,15 @@ def test_line_dedup(spark):
     assert linedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_takes_short_and_blank_lines_along(spark):
+    rng = random.Random(12)
+    head, tail = prose(rng, 6), prose(rng, 6)
+    copied = ["", head, "", "- one", "- two", "", tail, ""]
+    rows = [(1, "\n".join([prose(rng, 12), *copied])), (2, "\n".join(["other", *copied, prose(rng, 12)]))]
+    got = {r.doc_id: (r.n_removed_lines, r.text) for r in linedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (8, "other\n" + rows[1][1].split("\n")[-1])}
+
+
 # ---------------------------------------------------------------- n-gram join
 
 
