@@ -370,6 +370,15 @@ def test_line_dedup_takes_short_and_blank_lines_along(spark):
     assert got == {1: (0, rows[0][1]), 2: (8, "other\n" + rows[1][1].split("\n")[-1])}
 
 
+def test_line_dedup_blocks_of_lines_with_other_first_holders(spark):
+    rng = random.Random(13)
+    x, y = prose(rng, 6), prose(rng, 6)
+    verse = "\n".join(f"v{i} {i}" for i in range(9))
+    rows = [(1, x + "\n" + prose(rng, 12)), (2, y + "\n" + prose(rng, 12)), (3, "\n".join(["b", x, y])), (4, "\n".join(["c", x, y])), (5, verse), (6, "d\n" + verse)]
+    got = {r.doc_id: (r.n_removed_lines, r.text) for r in linedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {**{i: (0, t) for i, t in rows}, 4: (2, "c"), 6: (9, "d")}
+
+
 # ---------------------------------------------------------------- n-gram join
 
 
