@@ -1,14 +1,16 @@
 """Toxicity by multiple-instance learning: sentences are instances, documents carry the labels.
 
 A sentence's score is the logistic of a bias and the weights of its hashed words and word
-stems; a document's score is the noisy-or of its sentences, 1 - prod(1 - p).  Training
-maximises the likelihood of document labels through the noisy-or, so the weights end up on the
-sentences that make a document toxic; ``offending_sentences`` returns those sentences.
+stems; a document's score is the noisy-or of its sentences, 1 - prod(1 - p).  A fitted model counts
+only what a sentence's words add to the bias, (1 - p) / (1 - p of the bias alone), so sentences
+without evidence add nothing, however many a text has.  Training maximises the likelihood of
+document labels through the noisy-or, so the weights end up on the sentences that make a document
+toxic; ``offending_sentences`` returns those sentences.
 
 The model is fitted on a bounded sample of labelled documents (``sample_docs``, picked by a
 hash of the id); scoring reads every whole text.  Defined results: null and empty texts have no
 sentence and score 0; a document with conflicting labels counts as toxic; null labels are left
-out; rows pass one to one; without any label of a kind the model is the bias alone.
+out; rows pass one to one; without any label of a kind the model is the bias alone and all score 0.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ class Model:
     bits: int = 20
     bias: float = -9.0
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << 20, np.float32))
+    prior: bool = True  # whether sentences without evidence count, with the bias's probability
 
     def sentences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Logits of the sentences and the text of each."""
@@ -43,12 +46,15 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         z, text = self.sentences(texts)
-        return -np.expm1(-np.bincount(text, np.logaddexp(0.0, z), minlength=len(texts)))
+        miss = np.logaddexp(0.0, z)
+        if not self.prior:
+            miss = np.maximum(miss - np.logaddexp(0.0, self.bias), 0.0)
+        return -np.expm1(-np.bincount(text, miss, minlength=len(texts)))
 
 
 def fit_arrays(bags: list[np.ndarray], labels: np.ndarray, bits: int = 20, min_docs: int = 3, min_lift: float = 3.0, rounds: int = 300) -> Model:
     """bags: per document an int array (words, 1 + number of columns): sentence number, then hashes."""
-    model = Model(bits)
+    model = Model(bits, prior=False)
     model.weights = np.zeros(1 << bits, np.float32)
     toxic = labels.astype(bool)
     if not toxic.any() or toxic.all():
@@ -86,7 +92,7 @@ def fit_arrays(bags: list[np.ndarray], labels: np.ndarray, bits: int = 20, min_d
         grad = np.append(np.bincount(feature, g[owner], minlength=len(chosen)) + 0.05 * theta[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        theta[-1] = min(theta[-1], -7.0)  # a long text of harmless sentences stays harmless
+        theta[-1] = min(theta[-1], -7.0)  # the words and not the bias explain toxic documents
     model.bias = float(theta[-1])
     model.weights[chosen] = theta[:-1]
     return model

@@ -171,6 +171,14 @@ def test_noisy_or_by_hand():
     assert np.allclose(m.scores(["a b. c!\nd", "", None, "a"]), [1 - (1 - p) ** 3, 0, 0, p])
 
 
+def test_long_clean_text_is_not_toxic_by_length(spark):
+    m = toxicity.fit(*_labelled(spark))
+    harmless = "nothing said here.\n" * 60000
+    assert m.scores([harmless]).tolist() == [0.0]
+    assert m.scores([harmless + "w1 grumbolt w2."])[0] == m.scores(["w1 grumbolt w2."])[0] >= 0.5
+    assert toxicity.fit(*(x.limit(0) for x in _labelled(spark))).scores([harmless]).tolist() == [0.0]
+
+
 def test_quality_learns_and_matches_pairwise_sum(spark):
     d, labels = _labelled(spark)
     m = quality.fit(d, labels)
