@@ -6,7 +6,7 @@ by a sampled token (sets that agree on it share a bucket) and splits buckets aga
 sampled tokens until they are small; small buckets are compared by brute force on the sketches.
 In a large bucket the members like its first member are linked to it, and only buckets
 with members that aren't linked yet are split further; so groups of near copies cost a row per member.  Runs are repeated until a pair at
-the threshold is found with probability ``recall``; a node samples 1.25 tokens on average, which at
+the threshold is found with probability ``recall`` at the depth its buckets were split to; a node samples 1.25 tokens on average, which at
 similarity 0.8 keeps the expected number of shared children at one.
 
 Linked sets form candidate groups.  Within each, exact Jaccard similarities of all pairs are
@@ -135,27 +135,55 @@ def _brute_force(small: DataFrame, agree: int) -> DataFrame:
     return members.select("members").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def runs_needed(threshold: float, recall: float, depth: int) -> int:
+    """Runs until a pair at the threshold meets with probability ``recall`` in buckets split ``depth`` times after the root."""
+    miss = 0.0
+    for _ in range(depth + 1):
+        apart = 1 - threshold + threshold * miss  # by one sampled token: split now or lost further down
+        miss = 0.75 * apart + 0.25 * apart**2
+    return max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
+
+
 def candidate_edges(reps: DataFrame, threshold: float, recall: float, limit: int) -> DataFrame:
-    """(a, b): edges that connect the representatives of similar sets; reps: (id, sketch)."""
-    miss = 0.75 * (1 - threshold) + 0.25 * (1 - threshold) ** 2
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
+    """(a, b): edges that connect the representatives of similar sets; reps: (id, sketch).
+
+    Sets whose buckets had to be split go through further runs, as many as the depth that was reached needs.
+    """
+    done = depth = 0
+    sets, edges = reps.withColumn("tag", F.col("id")), None
+    while (runs := runs_needed(threshold, recall, depth)) > done:
+        found, deep, reached = _search(sets, range(done, runs), threshold, limit)
+        edges = found if edges is None else edges.union(found)
+        done, depth = runs, max(depth, reached)
+        if deep is None or runs_needed(threshold, recall, depth) <= done:
+            break
+        label = components(edges).select("id", "label")
+        sets = reps.join(deep, "id", "left_semi").join(label, "id", "left").select("id", "sketch", F.coalesce("label", "id").alias("tag"))
+        sets = materialize(sets, "deep")
+    return edges
+
+
+def _search(reps: DataFrame, runs: range, threshold: float, limit: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """Edges found by these runs over reps (id, sketch, tag), the sets of buckets that were split, and how often in a row."""
     agree = max(1, math.floor(SKETCH * threshold - SLACK * math.sqrt(SKETCH * threshold * (1 - threshold))))
     order = np.random.default_rng(5).permutation(SKETCH).tolist()
     taken, start = 0, []
-    for r in range(runs):
+    for r in range(runs.stop):
         for _ in range(2 if r % 4 == 3 else 1):
             start.append((r, order[taken % SKETCH]))
             taken += 1
+    start = [x for x in start if x[0] >= runs.start]
     token = lambda j: F.element_at("sketch", j + 1)
-    nodes = reps.select("id", F.explode(F.array(*[F.xxhash64(F.lit(r), F.lit(j), token(j)) for r, j in start])).alias("key"))
-    sizes = nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = materialize(nodes.join(sizes, "key"), "live")
+    # tag: sets with one tag are known to be in one candidate group, a bucket with one tag has nothing to find
+    nodes = reps.select("id", "tag", F.explode(F.array(*[F.xxhash64(F.lit(r), F.lit(j), token(j)) for r, j in start])).alias("key"))
+    sizes = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key", "n")
+    live = materialize(nodes.drop("tag").join(sizes, "key"), "live")
     # similar sets meet in most runs: equal small buckets are compared once
     small = live.where(F.col("n") <= limit).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids").distinct()
-    small = small.select(F.xxhash64("ids").alias("key"), F.explode("ids").alias("id")).join(reps, "id")
+    small = small.select(F.xxhash64("ids").alias("key"), F.explode("ids").alias("id")).join(reps.drop("tag"), "id")
     edges = materialize(_brute_force(small, agree), "found")
-    # tag: sets with one tag are known to be in one candidate group
-    large = live.where(F.col("n") > limit).join(reps, "id").select("key", "id", "sketch", F.col("id").alias("tag"))
+    large = live.where(F.col("n") > limit).join(reps, "id").select("key", "id", "sketch", "tag")
+    deep, reached = None, 0
     for depth in range(MAX_DEPTH + 1):
         first = large.groupBy("key").agg(F.min("id").alias("pivot"), F.min_by(F.struct("sketch", "tag"), "id").alias("first"))
         like = F.aggregate(F.zip_with("sketch", "first.sketch", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) >= agree
@@ -166,6 +194,9 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, limit: int
             # what all runs have linked so far counts in every bucket: a group of near copies is known by now
             label = components(edges).select("id", "label")
             judged = materialize(judged.join(label, "id", "left").withColumn("tag", F.coalesce("label", "tag")).drop("label"), "judged")
+        if depth == 0 and not judged.isEmpty():
+            open_ = judged.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key")
+            deep = materialize(judged.join(open_, "key").select("id").distinct(), "deep")
         pick = lambda salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(SKETCH)).cast("int") + 1
         child = lambda salt: F.xxhash64("key", pick(salt), F.element_at("sketch", pick(salt)))
         second = F.when(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(4)) == 0, child(2))
@@ -176,9 +207,10 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, limit: int
         live = materialize(nodes.join(sizes, "key"), "live")
         if live.isEmpty():
             break
+        reached = depth + 1
         edges = edges.union(materialize(_brute_force(live.where(F.col("n") <= limit), agree), "found"))
         large = live.where(F.col("n") > limit).drop("n")
-    return edges
+    return edges, deep, reached
 
 
 def _count_links(sets: list[np.ndarray], sides: np.ndarray, threshold: float) -> np.ndarray:

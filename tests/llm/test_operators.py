@@ -394,6 +394,23 @@ def _sets(texts):
     return [set(s.tolist()) for s in ngram_join.shingle_sets(texts)]
 
 
+def test_ngram_join_runs_grow_with_the_depth_of_splits(spark, monkeypatch):
+    # a simulated pair at the threshold, split at every level, stays apart in all runs with the chance that recall allows
+    rng = random.Random(14)
+
+    def meets(depth):
+        return any(rng.random() < 0.8 and (not depth or meets(depth - 1)) for _ in range(1 + (rng.random() < 0.25)))
+
+    for depth in (0, 2, 4):
+        miss = sum(not meets(depth) for _ in range(20000)) / 20000
+        assert miss ** ngram_join.runs_needed(0.8, 1 - 1e-6, depth) < 1.5e-6
+    seen, search = [], ngram_join._search
+    monkeypatch.setattr(ngram_join, "_search", lambda sets, runs, *a: seen.append(runs) or search(sets, runs, *a))
+    passage = prose(rng, 60)
+    ngram_join.join(docs(spark, [(i, passage + " " + prose(rng, 60)) for i in range(60)]), limit=4).count()
+    assert seen[0] == range(8) and len(seen) > 1 and seen[-1].stop > 8
+
+
 def test_ngram_join_against_brute_force(spark):
     rng = random.Random(11)
     rows = [(i, prose(rng, 60)) for i in range(40)]
