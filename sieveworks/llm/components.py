@@ -28,10 +28,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             labels = up.select("id", F.col("up").alias("label"))
         else:
             here = up.select(F.col("id").alias("label"), "up")
-            labels = labels.join(here, "label", "left").select("id", F.coalesce("up", "label").alias("label"))
+            # cut once a round: later rounds must not run earlier ones again
+            labels = materialize(labels.join(here, "label", "left").select("id", F.coalesce("up", "label").alias("label")), "labels")
         left = edge.join(up.select(F.col("id").alias("a"), F.col("up").alias("ua")), "a").join(up.select(F.col("id").alias("b"), F.col("up").alias("ub")), "b")
         edge = materialize(left.where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
         if edge.isEmpty():
-            # a label may itself have moved down in the same round it was chosen
-            return materialize(labels, "labels")
-        labels = materialize(labels, "labels")
+            return labels

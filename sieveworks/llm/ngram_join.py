@@ -3,9 +3,11 @@
 Documents are sets of word n-grams.  Equal sets form one class first; only one representative of
 each goes on.  A set is embedded as ``SKETCH`` min-wise tokens.  A run starts by splitting all sets
 by a sampled token (sets that agree on it share a bucket) and splits buckets again by further
-sampled tokens until they are small; small buckets are compared by brute force on the sketches.
+sampled tokens until they are small; small buckets are compared by brute force on sketches of
+``CHECKS`` bytes.  ``limit`` is what one task compares in about a second (4096^2 / 2 pairs); it bounds the
+work of a set in any bucket to 0.1 ms, a tenth of what a document may cost.
 In a large bucket the members like its first member are linked to it, and only buckets
-with members that aren't linked yet are split further; so groups of near copies cost a row per member.  Runs are repeated until a pair at
+with members that aren't linked yet are split further, however many levels that takes.  Runs are repeated until a pair at
 the threshold is found with probability ``recall`` at the depth its buckets were split to; a node samples 1.25 tokens on average, which at
 similarity 0.8 keeps the expected number of shared children at one.
 
@@ -27,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +37,15 @@ from .common import chunks, materialize
 from .components import components
 from .hashing import hashed_words
 
-SKETCH = 48
+#: Tokens that buckets are split by, and tokens of which a byte each is compared (the first ones are the same).
+SKETCH, CHECKS = 48, 128
 #: Sketch agreement that sends a pair to the exact comparison; at similarity 0.8 it is 5 standard deviations below the mean.
 SLACK = 5.2
-MAX_DEPTH = 7
-_MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1)
+#: Levels after which a bucket of sets with different tags can only hold sets that agree in every token.
+GUARD = 200
+#: Tokens of the sets that are compared at once, on average.
+BLOCK_TOKENS = 1 << 21
+_MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, CHECKS, dtype=np.uint64) | np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,16 +82,16 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """SKETCH min-wise tokens of non-empty sets, as signed 32-bit numbers."""
+    """CHECKS min-wise tokens of non-empty sets."""
     if not sets:
-        return np.zeros((0, SKETCH), np.int32)
+        return np.zeros((0, CHECKS), np.uint32)
     flat = np.concatenate(sets)
     first = np.cumsum([0, *map(len, sets[:-1])])
-    return np.stack([np.minimum.reduceat(((flat * m) >> np.uint64(32)).astype(np.uint32), first) for m in _MULTIPLIERS], axis=1).view(np.int32)
+    return np.stack([np.minimum.reduceat(((flat * m) >> np.uint64(32)).astype(np.uint32), first) for m in _MULTIPLIERS], axis=1)
 
 
 def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, h1, h2, sketch): the set's size, 128-bit hash and sketch (empty for the empty set)."""
+    """(id, size, h1, h2, sketch, check): the set's size, 128-bit hash, SKETCH tokens and a byte of CHECKS tokens (none for the empty set)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -93,46 +100,79 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
             for lo, hi in chunks(texts):
                 sets = shingle_sets(texts[lo:hi], n)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                sk = sketches([sets[i] for i in full])
-                size = np.zeros(len(sets) + 1, np.int32)
+                tokens = sketches([sets[i] for i in full])
+                size, check = np.zeros(len(sets) + 1, np.int32), [None] * len(sets)
                 size[np.array(full, np.int64) + 1] = SKETCH
+                for i, row in zip(full, tokens.astype(np.uint8)):
+                    check[i] = row.tobytes()
                 hashes = [set_hash(s) for s in sets]
+                split = pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(np.ascontiguousarray(tokens[:, :SKETCH]).view(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), pa.array([x for x, _ in hashes], pa.int64()), pa.array([y for _, y in hashes], pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(sk.ravel()))],
-                    ["id", "size", "h1", "h2", "sketch"],
+                    [b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), pa.array([x for x, _ in hashes], pa.int64()), pa.array([y for _, y in hashes], pa.int64()), split, pa.array(check, pa.binary())],
+                    ["id", "size", "h1", "h2", "sketch", "check"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, size int, h1 long, h2 long, sketch array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, size int, h1 long, h2 long, sketch array<int>, check binary")
+
+
+def _groups(check: np.ndarray, agree: int) -> np.ndarray:
+    """For each row the first row that it is connected to by rows that agree in at least ``agree`` bytes."""
+    n = len(check)
+    if n <= 64:
+        like = (check[:, None, :] == check[None, :, :]).sum(-1) >= agree
+    else:
+        count = np.zeros((n, n), np.uint8)  # CHECKS fits a byte
+        for column in np.ascontiguousarray(check.T):
+            count += column[:, None] == column[None, :]
+        like = count >= agree
+    up = np.full(n, -1)
+    for s in range(n):
+        if up[s] < 0:
+            up[s] = s
+            todo = [s]
+            while todo:
+                new = np.flatnonzero(like[todo.pop()] & (up < 0))
+                up[new] = s
+                todo += new.tolist()
+    return up
 
 
 def _brute_force(small: DataFrame, agree: int) -> DataFrame:
-    """(a, b): a spanning forest of the pairs in each bucket whose sketches agree on at least ``agree`` tokens."""
-    kind = small.schema["id"].dataType.simpleString()
+    """(a, b): stars over the sets of each bucket that are connected by pairs whose sketches agree; small: (key, id, check)."""
 
     def run(batches):
         for b in batches:
-            out_a, out_b = [], []
-            for members in b.column(0).to_pylist():
-                ids = [m["id"] for m in members]
-                sk = np.array([m["sketch"] for m in members], np.int32)
-                like = (sk[:, None, :] == sk[None, :, :]).sum(-1) >= agree
-                seen = np.zeros(len(ids), bool)
-                for s in range(len(ids)):
-                    if seen[s]:
-                        continue
-                    seen[s] = True
-                    todo = [s]
-                    while todo:
-                        x = todo.pop()
-                        new = np.flatnonzero(like[x] & ~seen)
-                        seen[new] = True
-                        todo += new.tolist()
-                        out_a += [ids[x]] * len(new)
-                        out_b += [ids[y] for y in new]
-            yield pa.RecordBatch.from_pydict({"a": out_a, "b": out_b}, schema=pa.schema([("a", b.schema.field(0).type.value_type.field(0).type), ("b", b.schema.field(0).type.value_type.field(0).type)]))
-
-    members = small.groupBy("key").agg(F.collect_list(F.struct("id", "sketch")).alias("members"))
-    return members.select("members").mapInArrow(run, f"a {kind}, b {kind}")
+            lists = b.column(0)
+            flat = lists.flatten()
+            ids = flat.field("id").to_numpy(zero_copy_only=False)
+            check = np.frombuffer(b"".join(flat.field("check").to_pylist()), np.uint8).reshape(-1, CHECKS)
+            at, tops, rest = 0, [], []
+            for n in lists.value_lengths().to_pylist():
+                own = ids[at : at + n]
+                top = own[_groups(check[at : at + n], agree)]
+                tops.append(top[top != own])
+                rest.append(own[top != own])
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (tops, rest)], ["a", "b"])
+
+    members = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "check"))).alias("members"))
+    return members.select("members").mapInArrow(run, "a long, b long")
+
+
+def _like_first(large: DataFrame, agree: int) -> DataFrame:
+    """large with whether each set is like its bucket's first one (``pivot``); those that are take its tag."""
+    columns = "key long, id long, sketch array<int>, check binary, pivot long, like boolean, tag long"
+
+    def run(batches):
+        for b in batches:
+            own, first = (np.frombuffer(b"".join(b.column(b.schema.names.index(c)).to_pylist()), np.uint8).reshape(-1, CHECKS) for c in ("check", "first"))
+            like = pa.array((own == first).sum(axis=1) >= agree)
+            tag = pa.compute.if_else(like, b.column(b.schema.names.index("first_tag")), b.column(b.schema.names.index("tag")))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(c)) for c in ("key", "id", "sketch", "check", "pivot")), like, tag], ["key", "id", "sketch", "check", "pivot", "like", "tag"])
+
+    first = large.groupBy("key").agg(F.min("id").alias("pivot"), F.min_by(F.struct("check", "tag"), "id").alias("f"))
+    first = first.select("key", "pivot", F.col("f.check").alias("first"), F.col("f.tag").alias("first_tag"))
+    return large.join(first, "key").mapInArrow(run, columns)
 
 
 def runs_needed(threshold: float, recall: float, depth: int) -> int:
@@ -145,7 +185,7 @@ def runs_needed(threshold: float, recall: float, depth: int) -> int:
 
 
 def candidate_edges(reps: DataFrame, threshold: float, recall: float, limit: int) -> DataFrame:
-    """(a, b): edges that connect the representatives of similar sets; reps: (id, sketch).
+    """(a, b): edges that connect the representatives of similar sets; reps: (id, sketch, check).
 
     Sets whose buckets had to be split go through further runs, as many as the depth that was reached needs.
     """
@@ -157,15 +197,14 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, limit: int
         done, depth = runs, max(depth, reached)
         if deep is None or runs_needed(threshold, recall, depth) <= done:
             break
-        label = components(edges).select("id", "label")
-        sets = reps.join(deep, "id", "left_semi").join(label, "id", "left").select("id", "sketch", F.coalesce("label", "id").alias("tag"))
-        sets = materialize(sets, "deep")
+        sets = deep
     return edges
 
 
 def _search(reps: DataFrame, runs: range, threshold: float, limit: int) -> tuple[DataFrame, DataFrame | None, int]:
-    """Edges found by these runs over reps (id, sketch, tag), the sets of buckets that were split, and how often in a row."""
-    agree = max(1, math.floor(SKETCH * threshold - SLACK * math.sqrt(SKETCH * threshold * (1 - threshold))))
+    """Edges found by these runs over reps (id, sketch, check, tag), the sets of buckets that were split, and how often in a row."""
+    share = threshold + (1 - threshold) / 256  # bytes of different tokens agree by chance
+    agree = max(1, math.floor(CHECKS * share - SLACK * math.sqrt(CHECKS * share * (1 - share))))
     order = np.random.default_rng(5).permutation(SKETCH).tolist()
     taken, start = 0, []
     for r in range(runs.stop):
@@ -180,37 +219,39 @@ def _search(reps: DataFrame, runs: range, threshold: float, limit: int) -> tuple
     live = materialize(nodes.drop("tag").join(sizes, "key"), "live")
     # similar sets meet in most runs: equal small buckets are compared once
     small = live.where(F.col("n") <= limit).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids").distinct()
-    small = small.select(F.xxhash64("ids").alias("key"), F.explode("ids").alias("id")).join(reps.drop("tag"), "id")
+    small = small.select(F.xxhash64("ids").alias("key"), F.explode("ids").alias("id")).join(reps.select("id", "check"), "id")
     edges = materialize(_brute_force(small, agree), "found")
-    large = live.where(F.col("n") > limit).join(reps, "id").select("key", "id", "sketch", "tag")
-    deep, reached = None, 0
-    for depth in range(MAX_DEPTH + 1):
-        first = large.groupBy("key").agg(F.min("id").alias("pivot"), F.min_by(F.struct("sketch", "tag"), "id").alias("first"))
-        like = F.aggregate(F.zip_with("sketch", "first.sketch", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) >= agree
-        judged = large.join(first, "key").withColumn("like", like | F.lit(depth == MAX_DEPTH))
-        judged = materialize(judged.select("key", "id", "sketch", "pivot", "like", F.when(F.col("like"), F.col("first.tag")).otherwise(F.col("tag")).alias("tag")), "judged")
+    live = live.where(F.col("n") > limit)
+    if live.isEmpty():
+        return edges, None, 0
+    large, deep, depth = live.join(reps, "id").select("key", "id", "sketch", "check", "tag"), None, 0
+    while True:
+        judged = materialize(_like_first(large, agree), "judged")
         edges = edges.union(judged.where("like AND id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-        if depth in (0, 2) and not judged.isEmpty():
+        if depth == 0:
             # what all runs have linked so far counts in every bucket: a group of near copies is known by now
             label = components(edges).select("id", "label")
-            judged = materialize(judged.join(label, "id", "left").withColumn("tag", F.coalesce("label", "tag")).drop("label"), "judged")
-        if depth == 0 and not judged.isEmpty():
+            judged = judged.join(label, "id", "left").withColumn("tag", F.coalesce("label", "tag")).drop("label")
             open_ = judged.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key")
-            deep = materialize(judged.join(open_, "key").select("id").distinct(), "deep")
+            judged = materialize(judged.join(open_, "key"), "judged")
+            deep = judged.groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("check").alias("check"), F.first("tag").alias("tag"))
+        if depth == GUARD:  # only sets that agree in every token come here: they are one candidate group
+            lowest = judged.groupBy("key").agg(F.min("id").alias("a"))
+            return edges.union(judged.join(lowest, "key").where("id <> a").select("a", F.col("id").alias("b"))), deep, depth
         pick = lambda salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(SKETCH)).cast("int") + 1
         child = lambda salt: F.xxhash64("key", pick(salt), F.element_at("sketch", pick(salt)))
         second = F.when(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(4)) == 0, child(2))
         keys = F.array_distinct(F.array_compact(F.array(child(1), second)))
-        nodes = judged.select(F.explode(keys).alias("key"), "id", "sketch", "tag")
-        # a bucket with one tag has nothing left to find
+        nodes = judged.select(F.explode(keys).alias("key"), "id", "sketch", "check", "tag")
         sizes = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key", "n")
         live = materialize(nodes.join(sizes, "key"), "live")
         if live.isEmpty():
-            break
-        reached = depth + 1
+            return edges, deep, depth
+        depth += 1
         edges = edges.union(materialize(_brute_force(live.where(F.col("n") <= limit), agree), "found"))
         large = live.where(F.col("n") > limit).drop("n")
-    return edges, deep, reached
+        if large.isEmpty():
+            return edges, deep, depth
 
 
 def _count_links(sets: list[np.ndarray], sides: np.ndarray, threshold: float) -> np.ndarray:
@@ -239,18 +280,18 @@ def _count_links(sets: list[np.ndarray], sides: np.ndarray, threshold: float) ->
     return links
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 1 - 1e-6, limit: int = 64, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 1 - 1e-6, limit: int = 4096, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, copy_id, n_links) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     sig = materialize(signatures(docs, n, id_col, text_col), "signatures")
     known = sig.where("id IS NOT NULL AND size > 0")
-    reps = materialize(known.groupBy("h1", "h2").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "reps")
+    reps = materialize(known.groupBy("h1", "h2").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("check").alias("check")), "reps")
     # two different sets may have the same smallest id only when rows share ids; a number of their own keeps them apart
     reps = reps.withColumn("id", F.xxhash64("h1", "h2"))
-    group = components(candidate_edges(reps.select("id", "sketch"), threshold, recall, limit)).withColumnRenamed("label", "grp")
-    members = group.join(reps.select("id", "h1", "h2", "copy_id", "copies"), "id")
-    size = group.groupBy("grp").agg(F.count("*").alias("members"))
-    width = F.ceil(F.col("members") / block).cast("int")
+    group = components(candidate_edges(reps.select("id", "sketch", "check"), threshold, recall, limit)).withColumnRenamed("label", "grp")
+    members = group.join(reps.select("id", "h1", "h2", "copy_id", "copies", "size"), "id")
+    size = members.groupBy("grp").agg(F.count("*").alias("members"), F.sum(F.col("size").cast("long")).alias("tokens"))
+    width = F.ceil(F.greatest(F.col("members") / block, F.col("tokens") / BLOCK_TOKENS)).cast("int")
     # blocks by salted hash, so that a group with a third of all rows is never ranked in one task
     members = members.join(size, "grp").withColumn("blocks", width).withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int"))
     members = materialize(members.select("grp", "id", "h1", "h2", "copy_id", "copies", "blocks", "block"), "members")
