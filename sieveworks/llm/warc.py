@@ -10,13 +10,19 @@ Reader: parses any archive, groups segments by origin identifier, orders them by
 the total length and decodes chunked framing.  An incomplete, doubled or wrongly long chain keeps
 its row with the reason in ``error`` and no payload.
 
-Defined results: null html is the empty payload; rows with equal ids are separate records; a null id
-is written as an empty field and read back as null; other columns are ignored.
+Every record has an identifier of its own; the page id stands in a field beside it, and a revisit names
+the page id of the response it stands for.
+
+Defined results: null html is the empty payload; rows with equal or null ids are separate records, so
+as many rows come back as went in; a null id is read back as null; of equal payloads under one id, the
+largest, each is a response; large payloads without any id are responses; other columns are ignored.
+Sizes and digests reported for responses are those of the payload read back, null if it did not come back.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -24,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CRLF = b"\r\n"
-_ID = "urn:sieveworks:page:"
 
 
 def chunked(body: bytes, size: int = 8192) -> bytes:
@@ -94,17 +99,17 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             for ident, url, body, digest, keeper in zip(*(c.to_pylist() for c in b.columns)):
                 # equal ids may share the keeper's number; only rows with another number revisit it
                 revisit = keeper is not None and ident != keeper
-                name = _ID + ("" if ident is None else str(ident))
+                name = uuid.uuid4().urn
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-                common = {"WARC_Target_URI": None if url is None else url.replace("\r", "").replace("\n", ""), "WARC_Payload_Digest": f"sha1:{digest}", "X_Payload_Length": len(body)}
+                common = {"WARC_Target_URI": None if url is None else url.replace("\r", "").replace("\n", ""), "X_Page_ID": ident, "WARC_Payload_Digest": f"sha1:{digest}", "X_Payload_Length": len(body)}
                 if revisit:
-                    own = [record("revisit", name, head, WARC_Refers_To=f"<{_ID}{keeper}>", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", **common)]
+                    own = [record("revisit", name, head, X_Refers_To_Page_ID=keeper, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", **common)]
                 else:
                     block = head + chunked(body)
                     cut = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
                     own = [record("response", name, cut[0], WARC_Segment_Number=1 if len(cut) > 1 else None, **common)]
                     for k, part in enumerate(cut[1:], 2):
-                        own.append(record("continuation", f"{name}:{k}", part, WARC_Segment_Origin_ID=f"<{name}>", WARC_Segment_Number=k, WARC_Segment_Total_Length=len(block) if k == len(cut) else None))
+                        own.append(record("continuation", uuid.uuid4().urn, part, WARC_Segment_Origin_ID=f"<{name}>", WARC_Segment_Number=k, WARC_Segment_Total_Length=len(block) if k == len(cut) else None))
                 for r in own:
                     z = zlib.compressobj(1, zlib.DEFLATED, 31)
                     out.append(z.compress(r) + z.flush())
@@ -118,14 +123,20 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return rows.mapInArrow(run, "archive binary")
 
 
-_FIELDS = "record_id string, origin_id string, segment int, total_length long, record_type string, refers_to string, digest string, payload_length long, url string, block binary"
+#: Columns that whole records keep; refers_to is the identifier that a foreign archive gives, refers_to_page our own page id.
+_KEEP = "record_id string, record_type string, page_id long, refers_to string, refers_to_page long, digest string, payload_length long, url string"
+_FIELDS = f"origin_id string, segment int, total_length long, {_KEEP}, block binary"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _columns(fields: str) -> tuple[list[str], list[pa.DataType]]:
+    pairs = [f.split() for f in fields.split(", ")]
+    return [n for n, _ in pairs], [_ARROW[t] for _, t in pairs]
 
 
 def records(archives: DataFrame, archive_col: str = "archive") -> DataFrame:
     """One row per record of the archives, segments not yet joined."""
-    names = [f.split()[0] for f in _FIELDS.split(", ")]
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    kinds = [kinds[f.split()[1]] for f in _FIELDS.split(", ")]
+    names, kinds = _columns(_FIELDS)
 
     def run(batches):
         for b in batches:
@@ -136,7 +147,8 @@ def records(archives: DataFrame, archive_col: str = "archive") -> DataFrame:
                         number = lambda k: int(f[k]) if k in f else None
                         bare = lambda k: f[k].strip("<>") if k in f else None
                         digest = f.get("warc-payload-digest", "")
-                        rows.append((bare("warc-record-id"), bare("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"), f["warc-type"], bare("warc-refers-to"), digest.rpartition(":")[2] or None, number("x-payload-length"), f.get("warc-target-uri"), block))
+                        segment = bare("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length")
+                        rows.append((*segment, bare("warc-record-id"), f["warc-type"], number("x-page-id"), bare("warc-refers-to"), number("x-refers-to-page-id"), digest.rpartition(":")[2] or None, number("x-payload-length"), f.get("warc-target-uri"), block))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -164,14 +176,13 @@ def _finish(segments: list[tuple[int | None, int | None, bytes]]) -> tuple[bytes
 
 
 def reassemble(rows: DataFrame) -> DataFrame:
-    """(record_id, record_type, refers_to, digest, payload_length, url, payload, error): whole records as they are, segments by origin.
+    """(record_id, record_type, page_id, refers_to, refers_to_page, digest, payload_length, url, payload, error): whole records as they are, segments by origin.
 
     Only records that have segment numbers are shuffled; a chain's segments meet in one task by their nature.
     """
-    schema = "record_id string, record_type string, refers_to string, digest string, payload_length long, url string, payload binary, error string"
-    names = ["record_id", "record_type", "refers_to", "digest", "payload_length", "url", "payload", "error"]
-    kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary(), pa.string()]
-    keep = ["record_id", "record_type", "refers_to", "digest", "payload_length", "url"]
+    schema = f"{_KEEP}, payload binary, error string"
+    names, kinds = _columns(schema)
+    keep = names[:-2]
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
@@ -202,14 +213,14 @@ def reassemble(rows: DataFrame) -> DataFrame:
 
 
 def page_report(found: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, error) per page; digests of responses are taken from the payload read back."""
-    number = lambda c: F.expr(f"try_cast(substring({c}, {len(_ID) + 1}) AS BIGINT)")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, error) per page; those of responses are taken from the payload read back."""
+    revisit = F.col("record_type") == "revisit"
     return found.select(
-        number("record_id").alias("page_id"),
-        F.coalesce(F.length("payload"), "payload_length").cast("long").alias("payload_bytes"),
-        F.coalesce(F.sha1("payload"), "digest").alias("payload_digest"),
+        "page_id",
+        F.when(revisit, F.col("payload_length")).otherwise(F.length("payload")).cast("long").alias("payload_bytes"),
+        F.when(revisit, F.col("digest")).otherwise(F.sha1("payload")).alias("payload_digest"),
         "record_type",
-        number("refers_to").alias("refers_to"),
+        F.col("refers_to_page").alias("refers_to"),
         "error",
     )
 
