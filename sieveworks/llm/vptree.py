@@ -5,7 +5,9 @@ nearest in Euclidean distance are those of largest inner product, and the triang
 holds.  Each shard (a hash of the id, about ``shard_rows`` vectors) keeps one tree as one row.
 A block of queries walks down a tree together; a subtree is skipped when the triangle inequality,
 relaxed by ``factor`` (distance to the ball's edge times factor against the k-th best distance),
-excludes it: factor 1 is exact search, larger factors prune more and may miss neighbours.
+excludes it: factor 1 is exact search, larger factors prune more and may miss neighbours.  A second
+walk takes everything up to the k-th best distance and its rounding error, so that ties are decided
+by exact scores alone.
 
 Queries go to the shards in blocks; a query keeps k candidates per shard, then the k best of all.
 Scores are inner products of the original vectors in double precision, summed component by
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAF = 64
+#: Queries that walk down a tree together.
+SEARCH_ROWS = 512
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -50,12 +54,24 @@ class Tree:
         self.ids, starts = ids[order][by], np.flatnonzero(~same)
         self.first = np.append(starts, len(order))  # ids of distinct vector g: first[g] to first[g + 1]
         self.vectors = vectors[order[starts]]
-        lift = np.sqrt(np.maximum(0.0, largest**2 - (self.vectors**2).sum(1)))
-        self.points = np.column_stack([self.vectors, lift])
+        self.largest = largest
+        self._lift()
         self.nodes: list[tuple] = []
         if len(self.points):
             self._build(np.arange(len(self.points)))
 
+    def _lift(self) -> None:
+        self.points = np.column_stack([self.vectors, np.sqrt(np.maximum(0.0, self.largest**2 - (self.vectors**2).sum(1)))])
+        self.norms = (self.points**2).sum(1)
+
+    def __getstate__(self):
+        # vectors travel once
+        return {k: v for k, v in self.__dict__.items() if k not in ("points", "norms")}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self._lift()
+
     def _build(self, members: np.ndarray) -> int:
         me = len(self.nodes)
         self.nodes.append(())
@@ -78,20 +94,20 @@ class Tree:
         return me
 
     def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distances and numbers of the k nearest distinct vectors per query (-1: fewer)."""
+        """(query, distinct vector) pairs: the k nearest of each query, and all that rounding or ties may have kept out."""
         q = np.column_stack([queries, np.zeros(len(queries))])
-        best, who = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
-        norms = (self.points**2).sum(1)
+        if not self.nodes or not len(q):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         q2 = (q**2).sum(1)
+        best = np.full((len(q), k), np.inf)
+        # of a computed squared distance; points lie on the sphere of radius ``largest``
+        error = 8 * np.finfo(float).eps * (self.points.shape[1] + 4) * (q2 + self.largest**2)
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def walk(node: int, act: np.ndarray) -> None:
+        def walk(node: int, act: np.ndarray, reach, visit) -> None:
             vantage, edge, a, b = self.nodes[node]
             if vantage is None:
-                d = np.maximum(0.0, q2[act, None] + norms[a] - 2.0 * (q[act] @ self.points[a].T))
-                d = np.concatenate([best[act], d], axis=1)
-                w = np.concatenate([who[act], np.broadcast_to(a, (len(act), len(a)))], axis=1)
-                pick = np.argpartition(d, k - 1, axis=1)[:, :k]
-                best[act], who[act] = np.take_along_axis(d, pick, 1), np.take_along_axis(w, pick, 1)
+                visit(act, a, np.maximum(0.0, q2[act, None] + self.norms[a] - 2.0 * (q[act] @ self.points[a].T)))
                 return
             d = np.sqrt(((q[act] - vantage) ** 2).sum(1))
             inside = d <= edge
@@ -99,15 +115,26 @@ class Tree:
             for group, first, second in ((inside, a, b), (~inside, b, a)):
                 if group.any():
                     own, room = act[group], gap[group]
-                    walk(first, own)
+                    walk(first, own, reach, visit)
                     # a hair of slack covers rounding in the distances
-                    left = own[room <= np.sqrt(best[own].max(1)) * (1 + 1e-9) + 1e-9]
+                    left = own[room <= reach(own) * (1 + 1e-9) + 1e-9]
                     if len(left):
-                        walk(second, left)
+                        walk(second, left, reach, visit)
+
+        def nearest(act, members, d):
+            d = np.concatenate([best[act], d], axis=1)
+            best[act] = np.partition(d, k - 1, axis=1)[:, :k]
+
+        walk(0, np.arange(len(q)), lambda own: np.sqrt(best[own].max(1)), nearest)
+        bound = best.max(1) + 2 * error
+
+        def within(act, members, d):
+            row, col = np.nonzero(d <= bound[act, None])
+            pairs.append((act[row], members[col]))
 
-        if self.nodes and len(q):
-            walk(0, np.arange(len(q)))
-        return best, who
+        walk(0, np.arange(len(q)), lambda own: np.sqrt(bound[own]), within)
+        row, who = (np.concatenate(x) for x in zip(*pairs))
+        return row, who
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -117,7 +144,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.where(fine).select(F.col(id_col).alias("id"), v.alias("v"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, shard_rows: int = 8192, block_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, shard_rows: int = 8192, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each row of queries its k nearest rows of vectors with another id."""
     spark = vectors.sparkSession
     base = usable(vectors, id_col, vector_col).withColumn("dim", F.size("v"))
@@ -152,22 +179,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
                 tree = pickle.loads(blob)
                 ids = np.array([a["id"] for a in asked])
                 q = np.array([a["v"] for a in asked]).reshape(-1, dim)
-                _, who = tree.search(q, k + 1, factor)  # one more: the query itself may be among them
-                size = np.minimum(np.where(who >= 0, tree.first[who + 1] - tree.first[who], 0), k + 1)
-                row, col = np.nonzero(size)
-                reps = size[row, col]
-                g = np.repeat(who[row, col], reps)
-                step = np.arange(len(g)) - np.repeat(np.cumsum(reps) - reps, reps)
-                row = np.repeat(row, reps)
-                cand = tree.ids[tree.first[g] + step]
-                score = inner(q[row], tree.vectors[g])
-                keep = cand != ids[row]
-                row, cand, score = row[keep], cand[keep], score[keep]
-                order = np.lexsort((cand, -score, row))
-                row, cand, score = row[order], cand[order], score[order]
-                rank = np.arange(len(row)) - np.searchsorted(row, row)
-                top = rank < k
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[top]]), pa.array(cand[top]), pa.array(score[top])], ["query_id", "id", "score"])
+                for lo in range(0, len(ids), SEARCH_ROWS):
+                    own = ids[lo : lo + SEARCH_ROWS]
+                    row, g = tree.search(q[lo : lo + SEARCH_ROWS], k + 1, factor)  # one more: the query itself may be among them
+                    exact = inner(q[lo + row], tree.vectors[g])
+                    reps = np.minimum(tree.first[g + 1] - tree.first[g], k + 1)  # more of one vector's ids can't be among the k
+                    step = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+                    row, score = np.repeat(row, reps), np.repeat(exact, reps)
+                    cand = tree.ids[np.repeat(tree.first[g], reps) + step]
+                    keep = cand != own[row]
+                    row, cand, score = row[keep], cand[keep], score[keep]
+                    order = np.lexsort((cand, -score, row))
+                    row, cand, score = row[order], cand[order], score[order]
+                    rank = np.arange(len(row)) - np.searchsorted(row, row)
+                    top = rank < k
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row[top]]), pa.array(cand[top]), pa.array(score[top])], ["query_id", "id", "score"])
 
     found = pairs.mapInArrow(find, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
