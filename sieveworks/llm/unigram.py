@@ -7,11 +7,12 @@ to the unknown piece if the model has none.  Decoding joins pieces, bytes includ
 whitespace markers into blanks.
 
 When no piece has a marker after another character (checked on loading), every blank starts
-an independent search, so each distinct stretch of text is searched once per Python worker
-(bounded cache) and whole batches of stretches advance through the trie together as arrays.
+an independent search, and so does every line break that is in no piece; each distinct stretch of
+text is searched once per Python worker (bounded cache, what was not met for a generation goes) and
+whole batches of stretches advance through the trie together as arrays.
 
 Defined results: null text gives null ids, the empty text no ids; decoding null gives null,
-ids outside the vocabulary raise.  Rows pass one to one, repeated rows included.
+ids outside the vocabulary raise; a marker that stands in the text itself decodes as a blank.  Rows pass one to one, repeated rows included.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -32,6 +34,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Score of the unknown piece below the smallest score of a piece.
 UNKNOWN_PENALTY = 10.0
+#: Characters of stretches that go through the trie together.
+BATCH_CHARS = 1 << 16
 
 
 def _fields(data: bytes):
@@ -138,11 +142,14 @@ class Model:
         self.bytes_of = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else p.encode() for p, _, k in pieces]
         #: Whether every marker starts an independent search.
         self.splits = not any(MARK in p.lstrip(MARK) for p, _, k in pieces if k in (NORMAL, USER))
+        #: A line break that is in no piece is a piece of its own in every segmentation, so it starts an independent search too.
+        self.lines = self.splits and not any("\n" in p for p, _, k in pieces if k in (NORMAL, USER))
         self.cache_size = cache_size
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": {}, "older": {}}
 
     def viterbi(self, stretches: list[bytes]) -> list[bytes]:
         """The ids (little-endian int32) of each UTF-8 stretch's best segmentation."""
@@ -221,20 +228,29 @@ class Model:
             elif not self.splits:
                 cut.append([t.replace(" ", MARK)])
             elif MARK not in t and "  " not in t and t[0] != " " and t[-1] != " ":
-                cut.append(t.split(" "))
+                cut.append((t.replace("\n", " \n") if self.lines else t).split(" "))
             else:
                 # keys lack the stretch's first marker, as those of split() do
-                cut.append([x[1:] for x in re.findall(f"{MARK}+[^{MARK}]*", MARK + t.replace(" ", MARK))])
-        cache = self.cache
-        if len(cache) > self.cache_size:
-            cache.clear()
-        new = list({w for own in cut for w in own if w not in cache})
-        for lo, hi in chunks(new, 1 << 19):
-            cache.update(zip(new[lo:hi], self.viterbi([(MARK + w).encode("utf-8", "surrogatepass") for w in new[lo:hi]])))
+                own = [x[1:] for x in re.findall(f"{MARK}+[^{MARK}]*", MARK + t.replace(" ", MARK))]
+                cut.append([x for w in own for x in (("", w) if self.lines and w[:1] == "\n" else (w,))])
+        if len(self.cache) > self.cache_size:  # what was not met for a whole generation goes
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        lost = {w for own in cut for w in own if w not in cache}
+        cache.update((w, older[w]) for w in lost if w in older)
+        new = sorted(w for w in lost if w not in cache)
+        raw = lambda w: w if self.lines and w[:1] == "\n" else MARK + w
+        for lo, hi in chunks(new, BATCH_CHARS):
+            cache.update(zip(new[lo:hi], self.viterbi([raw(w).encode("utf-8", "surrogatepass") for w in new[lo:hi]])))
         return [b"".join(map(cache.__getitem__, own)) for own in cut]
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        return self.finish(b"".join(map(self.bytes_of.__getitem__, ids)))
+
+    @staticmethod
+    def finish(spelled: bytes) -> str:
+        """The text of joined pieces: markers become blanks, the one before the text goes."""
+        raw = spelled.decode("utf-8", "replace").replace(MARK, " ")
         return raw[1:] if raw[:1] == " " else raw
 
 
@@ -278,11 +294,14 @@ def decode(df: DataFrame, model: Model, ids_col: str = "ids", text_col: str = "d
 
     def run(batches):
         m = shared.value
+        pieces = pa.array(m.bytes_of, pa.binary())
         for b in batches:
-            ids = b.column(at)
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                texts = [None if x is None else m.decode(x) for x in ids.slice(lo, 256).to_pylist()]
+                ids = part.column(at)
+                stops = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+                spelled = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pieces.take(ids.flatten()), mask=ids.is_null())
+                texts = [None if x is None else m.finish(x) for x in pc.binary_join(spelled, b"").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], schema=pa.schema([*part.schema, pa.field(text_col, pa.string())]))
 
     return df.mapInArrow(run, schema)
