@@ -9,7 +9,10 @@ serves a whole range of equal pieces.  The plan (a few thousand ranges) is broad
 finds its place by its rank among the pieces of its length, which salted counts give without
 gathering a length in one task.
 
-Defined results: null text is the empty text, which still has its closing token; equal lengths are
+Ids are those of the ``tokenizers`` library with its default settings; the merges are run by ``tiktoken``
+from the same file's vocabulary.
+
+Defined results: added tokens in a text (``<|endoftext|>``) are their ids; null text is the empty text, which still has its closing token; equal lengths are
 ranked by salt, then id, then piece; repeated rows of one id are packed separately; an empty table
 gives no rows.
 """
@@ -17,6 +20,7 @@ gives no rows.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_right
 
@@ -28,10 +32,16 @@ from pyspark.sql import functions as F
 from .common import chunks, materialize, shuffle_width
 
 
+#: White space of the word pattern.
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Runs of white space from this length on are cut out before the word pattern sees them, which goes back over runs step by step.
+LONG_RUN = 1000
+
+
 class Tokenizer:
-    """Byte-level BPE from a tokenizer file; blanks start words, so each distinct word is encoded once per Python worker."""
+    """Byte-level BPE from a tokenizer file, whose added tokens are found in texts unless ``special_as_text``."""
 
-    def __init__(self, path: str, cache_size: int = 200_000):
+    def __init__(self, path: str, special_as_text: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"]
@@ -39,14 +49,31 @@ class Tokenizer:
             raise ValueError("a byte-level BPE tokenizer without normalizer and prefix blank is needed")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = dict(zip(map(chr, plain), plain)) | dict(zip(map(chr, range(256, 324)), (b for b in range(256) if b not in set(plain))))
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take neighbouring characters along aren't supported")
+        special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
         self.ranks = {bytes(shown[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
-        self.cache_size = cache_size
-        self.cache: dict[str, bytes] = {}
+        self.special = {} if special_as_text else special
+        # the longest of those that start at one place
+        self.find = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.engine = None
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}, "engine": None}
+        return self.__dict__ | {"engine": None}
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of text without added tokens."""
+        one = self.engine.encode_ordinary
+        if len(text) > LONG_RUN and _PAIR.search(text[:: LONG_RUN // 2]):  # every long run covers two of these characters
+            parts, p = [], 0
+            for m in _RUN.finditer(text):
+                # before other text the run's last character stands with that text
+                stop = m.end() if m.end() == len(text) else m.end() - 1
+                parts += [text[p : m.start()], text[m.start() : stop]]
+                p = stop
+            return b"".join(np.array(one(x), "<u4").tobytes() for x in (*parts, text[p:]))
+        return np.array(one(text), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids (little-endian uint32) of each text."""
@@ -56,30 +83,19 @@ class Tokenizer:
             #: Fixed value: the public byte-level BPE word pattern.
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
             self.engine = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        one = self.engine.encode_ordinary
-        cache = self.cache
-        if len(cache) > self.cache_size:
-            cache.clear()
         out = []
         for t in texts:
-            if not t or "  " in t or t[-1] == " " or " \n" in t or any(ord(c) in _SPACES for c in set(t)):
-                # runs of white space may join across blanks: the text as a whole
-                out.append(np.array(one(t or ""), "<u4").tobytes())
-                continue
-            words = t.split(" ")
-            words[1:] = [" " + w for w in words[1:]]
-            try:
-                out.append(b"".join([cache[w] for w in words]))
-            except KeyError:
-                for w in words:
-                    if w not in cache:
-                        cache[w] = np.array(one(w), "<u4").tobytes()
-                out.append(b"".join([cache[w] for w in words]))
+            if not t:
+                out.append(b"")
+            elif self.find is not None and any(s in t for s in self.special):
+                out.append(b"".join(self.special.get(x) or self._plain(x) for x in self.find.split(t) if x))
+            else:
+                out.append(self._plain(t))
         return out
 
 
-#: White space other than the blank and the line break.
-_SPACES = frozenset([9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+_RUN = re.compile(_SPACE + "{%d,}" % LONG_RUN)
+_PAIR = re.compile(_SPACE + "{2}")
 
 
 def pieces(docs: DataFrame, tokenizer: Tokenizer, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
 
-TOKENIZERS = os.environ.get("SIEVEWORKS_TOKENIZERS", "/opt/tokenizers")
 
 
 def op3_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +19,7 @@ def op3_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import unigram
 
-    with open(f"{TOKENIZERS}/piece_bpe_32k.model", "rb") as f:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = unigram.Model(f.read())
     docs = unigram.encode(table(spark, sf_dir, "documents"), model)
     back = unigram.decode(docs, model)
@@ -45,7 +43,7 @@ def op10_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.Tokenizer(f"{TOKENIZERS}/byte_bpe_50k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

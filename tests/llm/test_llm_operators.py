@@ -9,12 +9,12 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from sieveworks.llm import hashing, linedup, media_gif, ngram_join, packing, quality, suffix_dedup, toxicity, unigram, vptree, warc
 from sieveworks.llm.components import components
-from sieveworks.llm.registry import TOKENIZERS
 
 SCHEMA = "doc_id long, text string, lang string, tag string, id long"
 EXTRA = ("en", "x", 7)  # columns that clash with internal names
@@ -85,7 +85,7 @@ def test_gif_payloads(spark):
 
 @pytest.fixture(scope="module")
 def model():
-    with open(f"{TOKENIZERS}/piece_bpe_32k.model", "rb") as f:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         return unigram.Model(f.read())
 
 
@@ -242,17 +242,18 @@ def test_open_bins_against_scan():
 def test_tokenizer_matches_library():
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    path = public_tokenizers.path("byte_bpe_50k.json")
     hf = Tokenizer.from_file(path)
-    hf.encode_special_tokens = True
     rng = random.Random(6)
     texts = [t for _, t in AWKWARD if t] + ["a  b", "a \n b", "\n\na b\n", " x", "x  y ", "it's <|endoftext|> 5\t a", "a b c d"] + ["".join(rng.choice("ab 'st\n12.é") for _ in range(60)) for _ in range(200)]
     got = [np.frombuffer(x, "<u4").tolist() for x in packing.Tokenizer(path).encode(texts)]
     assert got == [e.ids for e in hf.encode_batch(texts, add_special_tokens=False)]
+    hf.encode_special_tokens = True
+    assert np.frombuffer(packing.Tokenizer(path, special_as_text=True).encode(["a<|endoftext|>"])[0], "<u4").tolist() == hf.encode("a<|endoftext|>").ids
 
 
 def test_pack_documents(spark):
-    tok = packing.Tokenizer(f"{TOKENIZERS}/byte_bpe_50k.json")
+    tok = packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(7)
     rows = AWKWARD + [(100 + i, prose(rng, rng.randrange(400))) for i in range(60)]
     out = packing.pack_documents(docs(spark, rows), tok).collect()
@@ -295,6 +296,15 @@ def test_warc_round_trip(spark):
     assert warc.page_report(warc.reassemble(warc.records(warc.write(pages.limit(0))))).count() == 0
 
 
+def test_warc_rows_of_one_id(spark):
+    a, b, c = "a" * 90000, "b" * 80000, "c" * 1200
+    rows = [(1, a), (1, b), (1, b), (None, a), (None, c), (None, c), (None, "d" * 70000), (2, "x"), (2, "x"), (2, None)]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id long, url string, html string")
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.error) for r in warc.page_report(warc.reassemble(warc.records(warc.write(pages)))).collect()]
+    want = [(i, len(t or ""), hashlib.sha1((t or "").encode()).hexdigest(), *(("revisit", 1) if (i, t) == (None, a) else ("response", None)), None) for i, t in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_warc_broken_chains(spark):
     head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
     block = head + warc.chunked(b"y" * 100)
@@ -328,6 +338,19 @@ def _neighbours(rows, queries, k):
     return out
 
 
+def test_vantage_point_ties(spark):
+    rng = np.random.default_rng(3)
+    halves = [(i, [0.5, float(y)]) for i, y in enumerate(rng.permutation(np.arange(-150, 150) / 2), 1)]
+    whole = [(1000 + i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(500)]
+    whole = [(i, v) for i, v in whole if any(v)]
+    rows = [(0, [1.0, 0.0]), *halves, *whole]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in vptree.search(df, df.where("vec_id % 20 = 0"), 20, shard_rows=128).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    assert got == _neighbours(rows, [x for x in rows if x[0] % 20 == 0], 20)
+
+
 def test_vantage_point_trees(spark):
     rng = np.random.default_rng(8)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(700)] + [(1000 + i, [1.0] * 8) for i in range(200)]
