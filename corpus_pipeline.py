@@ -6,12 +6,12 @@ of ``documents``.  ``run`` cuts lineage between stages with tables in the shared
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.llm import linedup, ngram_join, packing, suffix_dedup, toxicity
 from sieveworks.llm.common import materialize, table
-from sieveworks.llm.registry import TOKENIZERS
 
 
 def _with_text(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of 1024 tokens."""
-    return packing.pack_documents(docs, packing.Tokenizer(f"{TOKENIZERS}/byte_bpe_50k.json"))
+    return packing.pack_documents(docs, packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [
