@@ -3,19 +3,22 @@
 All equal windows of ``length`` bytes share their minimizer (the smallest hashed k-gram inside), so a
 text is cut into stretches of neighbouring windows with one minimizer, and only stretches with equal
 minimizers can have windows in common.  Equal stretches need no search: all holders but the smallest
-id lose them.  Different stretches of one minimizer go to a Burrows-Wheeler transform (from a suffix
-array sorted to ``length`` symbols).  Breadth-first backward extension on the transform splits the
-intervals of common prefixes for increasing prefix lengths, and stops at ``length``: what is then
-still together shares at least so many bytes, and every window outside its interval's smallest
-document is removed.
-
-The first pass shuffles 12 bytes per stretch, about every sixteenth byte of text; stretches of
-minimizers with more than ``hot`` different stretches are compared window by window through a
-pre-aggregated join instead of in one task.
+id lose them.  Stretches count as equal by 96 hash bits (36 of the minimizer, 60 of the content); among
+the 6 10^12 stretches of 100 TB that makes 2 10^-4 wrong pairs in all.  Different stretches of one
+minimizer go to a Burrows-Wheeler transform, made from their suffix array.  Breadth-first backward
+extension on the transform splits the intervals of common prefixes for increasing prefix lengths, and
+stops at ``length``: what is then still together shares at least so many bytes, and every window outside
+its interval's smallest document is removed.
+
+The first pass shuffles 14 bytes per stretch, about every sixteenth byte of text; of equal stretches in
+one block of text only the smallest holder's is compared, so a stretch that a third of all documents hold
+comes once per block.  A minimizer with more than ``hot`` different stretches is no single group: its
+stretches are cut into parts of ``PART`` windows by their distance to the minimizer, and parts are grouped
+by all the bytes that their windows must share.
 
 Defined results: null text is empty; windows never cross documents; rows of one id do not remove
 each other's bytes and are cut each by its own text; a row with a null id stays whole and removes nothing; repeated rows pass one to
-one; an empty table gives no rows.  Ids are integers.
+one; an empty table gives no rows; other columns may have any names, with ``as_text`` they all stay.  Ids are integers.
 """
 
 from __future__ import annotations
@@ -34,7 +37,11 @@ _POS = 28  # bits of a position within a chunk
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(3).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TABLES: dict[str, np.ndarray] = {}
-REMOVE, SEARCH, SPREAD = 0, 1, 2
+REMOVE, SEARCH, PARTS = 0, 1, 2
+#: Windows in a part of a hot minimizer's stretch.
+PART = 8
+#: Bytes of text whose windows are worked on at once; longer texts are cut between windows.
+SEGMENT = 1 << 23
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,15 +61,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def stretches(raws: list[bytes], length: int, k: int = K):
-    """(text number, first window, last window, minimizer, content) of every stretch; windows by their start in the text.
+    """(text number, first window, last window, place of the minimizer, minimizer, content) of every stretch; places in the text.
 
     minimizer: 36-bit hash; content: 64-bit hash of the bytes that the stretch's windows cover.
     """
+    if len(raws) == 1 and len(raws[0]) > SEGMENT + length:
+        found = [(lo, stretches([raws[0][lo : lo + SEGMENT + length - 1]], length, k)) for lo in range(0, len(raws[0]) - length + 1, SEGMENT)]
+        text, a, b, place, minimizer, content = (np.concatenate(x) for x in zip(*(f for _, f in found)))
+        shift = np.repeat([lo for lo, _ in found], [len(f[0]) for _, f in found])
+        return text, a + shift, b + shift, place + shift, minimizer, content
     size = np.array([len(r) for r in raws])
     data = np.frombuffer(b"".join(raws), np.uint8)
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     one = _BYTE[data]
     grams, n, left = None, 1, k
     h, used = one, 0
@@ -99,7 +111,39 @@ def stretches(raws: list[bytes], length: int, k: int = K):
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(one * power[: len(data)], dtype=np.uint64)])
     lo, hi = begin[text] + a, begin[text] + b + length
     content = _mix((total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return text, a, b, own[first] >> np.uint64(_POS), content
+    place = (own[first] & np.uint64((1 << _POS) - 1)).astype(np.int64) - begin[text]
+    return text, a, b, place, own[first] >> np.uint64(_POS), content
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of a text of symbols below 512 in their order; a shorter suffix comes first.
+
+    Suffixes are sorted by seven packed symbols, then those that are still tied by the ranks behind what is sorted, which doubles it.
+    """
+    n = len(text)
+    key = np.zeros(n, np.int64)
+    for j in range(7):
+        key <<= 9
+        key[: n - j] |= text[j:]
+    order = np.argsort(key, kind="stable")
+    slot, ordered, done = np.arange(n), key[order], 7
+    rank = np.empty(n, np.int64)
+    while True:
+        # order[slot] is sorted by ordered; ranks are the first slots of what is equal
+        new = np.ones(len(slot), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        first = np.flatnonzero(new)
+        rank[order[slot]] = np.repeat(slot[first], np.diff(np.append(first, len(slot))))
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        slot = slot[tied]
+        if not len(slot):
+            return order
+        at = order[slot]
+        behind = np.where(at + done < n, rank[np.minimum(at + done, n - 1)], -1)
+        ordered = rank[at] * (n + 1) + behind + 1
+        by = np.argsort(ordered, kind="stable")
+        order[slot], ordered, done = at[by], ordered[by], 2 * done
 
 
 def repeated_windows(strings: list[bytes], owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,23 +155,7 @@ def repeated_windows(strings: list[bytes], owner: np.ndarray, length: int) -> tu
     inside[end - 1] = False
     text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
     n = len(text)
-    # suffixes in order of their first `length` symbols: seven symbols packed, then ranks doubled
-    key = np.zeros(n, np.int64)
-    for j in range(7):
-        key <<= 9
-        key[: n - j] |= text[j:]
-    done = 7
-    while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.diff(ordered, prepend=ordered[:1]) != 0)
-        if done >= length:
-            break
-        step = min(done, length - done)
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        done += step
+    order = suffix_array(text)
     before = text[order - 1]  # the transform; the first suffix is preceded by the last separator
     follow = np.argsort(before.astype(np.uint16), kind="stable")  # where each suffix without its first symbol stands
     start = text[order]
@@ -167,7 +195,8 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-_HEAD = np.dtype([("min", "<u8"), ("more", "<u2"), ("doc", "<u2")])  # 36 bits of minimizer and 28 of content; 16 more; number of the document
+_HEAD = np.dtype([("min", "<u8"), ("more", "<u4"), ("doc", "<u2")])  # 36 bits of minimizer and 28 of content; 32 more; number of the document
+_VERDICT = np.dtype([("min", "<u8"), ("more", "<u4"), ("act", "u1")])
 
 
 def _planes(head: np.ndarray) -> bytes:
@@ -180,11 +209,14 @@ def _heads(planes: bytes) -> np.ndarray:
 
 
 def _keys(minimizer: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return minimizer << np.uint64(28) | content >> np.uint64(36), (content >> np.uint64(20) & np.uint64(0xFFFF)).astype(np.uint16)
+    return minimizer << np.uint64(28) | content >> np.uint64(36), (content & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _announce(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, ids, heads): the stretches of some documents, by minimizer; ids and heads are packed arrays."""
+    """(bucket, local, ids, heads): the stretches of some documents, by minimizer; ids and heads are packed arrays.
+
+    local rows hold stretches that a smaller id of the same block has too; they are settled and wait only to be told.
+    """
 
     def run(batches):
         for b in batches:
@@ -193,32 +225,49 @@ def _announce(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             for lo, hi in chunks(texts, 1 << 20):
                 for lo2 in range(lo, hi, 60000):
                     raws = [_raw(t) for t in texts[lo2 : min(hi, lo2 + 60000)]]
-                    text, _, _, minimizer, content = stretches(raws, length)
+                    text, _, _, _, minimizer, content = stretches(raws, length)
                     if not len(text):
                         continue
                     key, more = _keys(minimizer, content)
-                    order = np.argsort(key, kind="stable")
-                    key, more, text = key[order], more[order], text[order]
-                    new = np.ones(len(key), bool)  # a document's repeated stretch once
-                    new[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1]) | (text[1:] != text[:-1])
-                    head = np.empty(int(new.sum()), _HEAD)
-                    head["min"], head["more"], doc = key[new], more[new], text[new]
-                    bucket = ((head["min"] >> np.uint64(28)) * np.uint64(buckets) >> np.uint64(36)).astype(np.int64)
-                    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                    own = ids[lo2 + text]
+                    order = np.lexsort((own, more, key))
+                    key, more, text, own = key[order], more[order], text[order], own[order]
+                    equal = np.ones(len(key), bool)
+                    equal[0] = False
+                    equal[1:] = (key[1:] == key[:-1]) & (more[1:] == more[:-1])
+                    new = ~equal  # a document's repeated stretch once
+                    new[1:] |= own[1:] != own[:-1]
+                    first = np.maximum.accumulate(np.where(equal, 0, np.arange(len(key))))
+                    head = np.empty(len(key), _HEAD)
+                    head["min"], head["more"], head["doc"] = key, more, text
+                    late = own > own[first]
                     rows = []
-                    for x, y in zip(cuts, np.append(cuts[1:], len(bucket))):
-                        used, number = np.unique(doc[x:y], return_inverse=True)
-                        part = head[x:y].copy()
-                        part["doc"] = number
-                        rows.append((int(bucket[x]), ids[lo2 + used].astype("<i8").tobytes(), _planes(part)))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "ids", "heads"])
+                    for local, chosen in ((False, new & ~late), (True, new & late)):
+                        part = head[chosen]
+                        # settled ones may go anywhere: all to one place per block
+                        bucket = np.full(len(part), int(key[0] % np.uint64(buckets))) if local else ((part["min"] >> np.uint64(28)) * np.uint64(buckets) >> np.uint64(36)).astype(np.int64)
+                        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                        for x, y in zip(cuts, np.append(cuts[1:], len(bucket))):
+                            used, number = np.unique(part["doc"][x:y], return_inverse=True)
+                            some = part[x:y].copy()
+                            some["doc"] = number
+                            rows.append((int(bucket[x]), local, ids[lo2 + used].astype("<i8").tobytes(), _planes(some)))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], ["bucket", "local", "ids", "heads"])
 
-    return docs.mapInArrow(run, "bucket int, ids binary, heads binary")
+    return docs.mapInArrow(run, "bucket int, local boolean, ids binary, heads binary")
 
 
 def _verdicts(announced: DataFrame, hot: int, width: int) -> DataFrame:
-    """(id, verdict): per document the stretches that others have too, 11 bytes each: key, more, REMOVE, SEARCH or SPREAD."""
-    kind = np.dtype([("min", "<u8"), ("more", "<u2"), ("act", "u1")])
+    """(id, verdict): per document the stretches that others have too, as packed rows of key, more, and REMOVE, SEARCH or PARTS."""
+
+    def by_document(ids, key, more, act):
+        out = np.empty(len(ids), _VERDICT)
+        out["min"], out["more"], out["act"] = key, more, act
+        order = np.argsort(ids, kind="stable")
+        ids, out = ids[order], out[order]
+        cuts = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1)) if len(ids) else np.zeros(0, np.int64)
+        raw, n = out.tobytes(), _VERDICT.itemsize
+        return pa.RecordBatch.from_arrays([pa.array(ids[cuts]), pa.array([raw[n * a : n * b] for a, b in zip(cuts, np.append(cuts[1:], len(ids)))], pa.binary())], ["id", "verdict"])
 
     def judge(parts):
         heads = [_heads(h) for _, h in parts]
@@ -235,38 +284,32 @@ def _verdicts(announced: DataFrame, hot: int, width: int) -> DataFrame:
         contents = np.bincount(g[new_content])[g]
         lowest = np.minimum.reduceat(ids, np.flatnonzero(new_group))[g]
         highest = np.maximum.reduceat(ids, np.flatnonzero(new_group))[g]
-        act = np.where(ids > ids[first], REMOVE, np.where(contents > hot, SPREAD, SEARCH))
+        act = np.where(ids > ids[first], REMOVE, np.where(contents > hot, PARTS, SEARCH))
         # a smallest holder matters only if another document has a different stretch of this minimizer
         told = (act == REMOVE) | ((contents > 1) & (lowest < highest))
-        out = np.empty(int(told.sum()), kind)
-        out["min"], out["more"], out["act"] = key[told], more[told], act[told]
-        ids = ids[told]
-        order = np.argsort(ids, kind="stable")
-        ids, out = ids[order], out[order]
-        cuts = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1)) if len(ids) else np.zeros(0, np.int64)
-        raw = out.tobytes()
-        return ids[cuts], [raw[11 * a : 11 * b] for a, b in zip(cuts, np.append(cuts[1:], len(ids)))]
+        return by_document(ids[told], key[told], more[told], act[told])
 
     def run(batches):
         bucket, parts = None, []
         for b in batches:
-            for k, ids, heads in zip(*(c.to_pylist() for c in b.columns)):
+            for k, local, ids, heads in zip(*(c.to_pylist() for c in b.columns)):
+                if local:
+                    head = _heads(heads)
+                    yield by_document(np.frombuffer(ids, "<i8")[head["doc"]], head["min"], head["more"], REMOVE)
+                    continue
                 if parts and k != bucket:
-                    i, v = judge(parts)
-                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(v, pa.binary())], ["id", "verdict"])
+                    yield judge(parts)
                     parts = []
                 bucket = k
                 parts.append((ids, heads))
         if parts:
-            i, v = judge(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(v, pa.binary())], ["id", "verdict"])
+            yield judge(parts)
 
     return announced.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "id long, verdict binary")
 
 
 def _apply(told: DataFrame, length: int) -> DataFrame:
-    """(id, hash, act, minimizer, start, bytes): REMOVE rows hold packed window ranges, SEARCH rows a stretch, SPREAD rows one window."""
-    kind = np.dtype([("min", "<u8"), ("more", "<u2"), ("act", "u1")])
+    """(id, hash, act, minimizer, start, bytes): REMOVE rows hold packed byte ranges, SEARCH rows a stretch or a part with the hash that it is grouped by."""
     names = ["id", "hash", "act", "minimizer", "start", "bytes"]
     kinds = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -275,12 +318,12 @@ def _apply(told: DataFrame, length: int) -> DataFrame:
             ids, hashes, texts, verdicts = (c.to_pylist() for c in b.columns)
             for lo, hi in chunks(texts, 1 << 20):
                 raws = [_raw(t) for t in texts[lo:hi]]
-                text, a, z, minimizer, content = stretches(raws, length)
+                text, a, z, place, minimizer, content = stretches(raws, length)
                 key, more = _keys(minimizer, content)
                 cut = np.searchsorted(text, np.arange(len(raws) + 1))
                 rows = []
                 for i in range(len(raws)):
-                    v = np.frombuffer(b"".join(verdicts[lo + i]), kind)
+                    v = np.frombuffer(b"".join(verdicts[lo + i]), _VERDICT)
                     s = slice(cut[i], cut[i + 1])
                     me = ids[lo + i], hashes[lo + i]
                     both = v["min"] * np.uint64(0x9E3779B97F4A7C15) + v["more"]
@@ -295,9 +338,13 @@ def _apply(told: DataFrame, length: int) -> DataFrame:
                     for j in np.flatnonzero(act == SEARCH):
                         x, y = int(a[s][j]), int(z[s][j])
                         rows.append((*me, SEARCH, int(minimizer[s][j]), x, raws[i][x : y + length]))
-                    for j in np.flatnonzero(act == SPREAD):
-                        for x in range(int(a[s][j]), int(z[s][j]) + 1):
-                            rows.append((*me, SPREAD, int(minimizer[s][j]), x, raws[i][x : x + length]))
+                    for j in np.flatnonzero(act == PARTS):
+                        x, y, p = int(a[s][j]), int(z[s][j]), int(place[s][j])
+                        for q in range((p - y) // PART, (p - x) // PART + 1):  # windows that start q * PART to q * PART + PART - 1 bytes before the minimizer
+                            lo_x, hi_x = max(x, p - q * PART - PART + 1), min(y, p - q * PART)
+                            shared = raws[i][p - q * PART : p - q * PART - PART + 1 + length]
+                            group = int.from_bytes(hashlib.blake2b(shared, digest_size=8).digest(), "little", signed=True)
+                            rows.append((*me, SEARCH, group, lo_x, raws[i][lo_x : hi_x + length]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -350,20 +397,7 @@ def removed_ranges(docs: DataFrame, length: int = 50, hot: int = 20000, id_col:
     told = long_enough.join(verdicts, "id").select("id", F.xxhash64("text").alias("hash"), "text", "verdict")
     rows = materialize(_apply(told, length), "stretches")
     found = _search(rows, length, width)
-    spread = rows.where(F.col("act") == SPREAD).select("id", "hash", "start", F.xxhash64("bytes").alias("x"), F.xxhash64("bytes", F.lit(1)).alias("y"))
-    first = spread.groupBy("x", "y").agg(F.min("id").alias("first"))
-    late = spread.join(first, ["x", "y"]).where("id > first").select("id", "hash", "start")
-
-    def pack(batches):
-        for b in batches:
-            out = []
-            for starts in b.column(2).to_pylist():
-                p, q = runs(np.array(starts), np.array(starts) + length)
-                out.append(np.stack([p, q], 1).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["id", "hash", "gone"])
-
-    spread_gone = late.groupBy("id", "hash").agg(F.collect_list("start").alias("starts")).mapInArrow(pack, "id long, hash long, gone binary")
-    gone = rows.where(F.col("act") == REMOVE).select("id", "hash", F.col("bytes").alias("gone")).union(found).union(spread_gone)
+    gone = rows.where(F.col("act") == REMOVE).select("id", "hash", F.col("bytes").alias("gone")).union(found)
     return gone.groupBy("id", "hash").agg(F.collect_list("gone").alias("gone"))
 
 
@@ -372,18 +406,20 @@ def cut(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col: st
 
     Bytes are cut, so a cut may halve a character; ``as_text`` drops such halves.
     """
-    gone = ranges.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("gone").alias("_gone"))
+    gone = ranges.select(F.struct(F.col("id"), F.col("hash")).alias("key"), F.col("gone").alias("gone"))
     if not as_text:
         docs = docs.select(id_col, text_col)
-    joined = docs.join(gone, (docs[id_col].cast("long") == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_hash"]), "left").drop("_id", "_hash")
-    fields = [f for f in joined.schema.fields if f.name != "_gone"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) if as_text else f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    at, gone_at = joined.columns.index(text_col), joined.columns.index("_gone")
+    # input columns stay in a struct, so that no name can clash
+    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(gone, "key", "left").select("row", "gone")
+    schema = docs.schema if as_text else f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
 
     def run(batches):
         for b in batches:
             kept, rows = [], []
-            for text, gone in zip(b.column(at).to_pylist(), b.column(gone_at).to_pylist()):
+            row = b.column(0).flatten()
+            for text, gone in zip(row[at].to_pylist(), b.column(1).to_pylist()):
                 raw = _raw(text)
                 pairs = np.frombuffer(b"".join(gone or []), "<i8").reshape(-1, 2)
                 p, q = runs(pairs[:, 0], pairs[:, 1])
@@ -391,13 +427,12 @@ def cut(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col: st
                 kept.append(text if not len(p) else parts.decode("utf-8", "ignore"))
                 rows.append((len(raw), int((q - p).sum()), len(p), hashlib.sha256(parts).hexdigest()))
             if as_text:
-                cols = [pa.array(kept, pa.string()) if i == at else c for i, c in enumerate(b.columns) if i != gone_at]
-                yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if i == at else c for i, c in enumerate(row)], docs_columns)
             elif rows:
                 cols = [pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([b.column(joined_id), *cols], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([row[id_at], *cols], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined_id = joined.columns.index(id_col)
+    docs_columns = docs.columns
     return joined.mapInArrow(run, schema)
 
 
