@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only if none is named (tests, local mode)."""
+    """The cluster's shared scratch folder; in local mode a temporary one if none is named, elsewhere an error."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not getattr(context, "_sieveworks_scratch", None):
         context._sieveworks_scratch = tempfile.mkdtemp(prefix="sieveworks-")
     return context._sieveworks_scratch

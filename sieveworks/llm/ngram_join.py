@@ -91,7 +91,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, h1, h2, sketch, check): the set's size, 128-bit hash, SKETCH tokens and a byte of CHECKS tokens (none for the empty set)."""
+    """(id, text_hash, size, h1, h2, sketch, check): the set's size, 128-bit hash, SKETCH tokens and a byte of CHECKS tokens (none for the empty set)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -108,11 +108,11 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
                 hashes = [set_hash(s) for s in sets]
                 split = pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(np.ascontiguousarray(tokens[:, :SKETCH]).view(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), pa.array([x for x, _ in hashes], pa.int64()), pa.array([y for _, y in hashes], pa.int64()), split, pa.array(check, pa.binary())],
-                    ["id", "size", "h1", "h2", "sketch", "check"],
+                    [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), pa.array([x for x, _ in hashes], pa.int64()), pa.array([y for _, y in hashes], pa.int64()), split, pa.array(check, pa.binary())],
+                    ["id", "text_hash", "size", "h1", "h2", "sketch", "check"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, size int, h1 long, h2 long, sketch array<int>, check binary")
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, f"id {kind}, text_hash long, size int, h1 long, h2 long, sketch array<int>, check binary")
 
 
 def _groups(check: np.ndarray, agree: int) -> np.ndarray:
@@ -281,7 +281,11 @@ def _count_links(sets: list[np.ndarray], sides: np.ndarray, threshold: float) ->
 
 
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 1 - 1e-6, limit: int = 4096, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, copy_id, n_links) of every row."""
+    """(id, class_id, copy_id, n_links, stays, text_hash) of every row.
+
+    stays: whether the row is its class's one document, the smallest id's (of one id's, the smallest set hash), or has no links;
+    equal rows are alike in that, too.  text_hash: xxhash64 of the text, for joining with rows that share an id.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     sig = materialize(signatures(docs, n, id_col, text_col), "signatures")
     known = sig.where("id IS NOT NULL AND size > 0")
@@ -343,14 +347,16 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 1
     label = components(checked.where("links > 0").select(F.col("id").alias("a"), F.col("other").alias("b")))
     # the class takes the smallest document id of its members
     named = label.join(reps.select("id", "copy_id"), "id")
-    smallest = named.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(smallest, "label").select("id", "class_id").join(links, "id", "left")
-    per_set = reps.join(named, "id", "left").select("h1", "h2", F.col("copy_id").alias("_copy"), F.coalesce("class_id", "copy_id").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"))
-    out = sig.select("id", "size", "h1", "h2").join(per_set, ["h1", "h2"], "left")
+    smallest = named.groupBy("label").agg(F.min(F.struct("copy_id", "id")).alias("first"))
+    named = named.join(smallest, "label").select("id", F.col("first.copy_id").alias("class_id"), (F.col("first.id") == F.col("id")).alias("leads")).join(links, "id", "left")
+    per_set = reps.join(named, "id", "left").select("h1", "h2", F.col("copy_id").alias("_copy"), F.coalesce("leads", F.lit(True)).alias("_leads"), F.coalesce("class_id", "copy_id").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"))
+    out = sig.select("id", "text_hash", "size", "h1", "h2").join(per_set, ["h1", "h2"], "left")
     alone = F.col("id").isNull() | (F.col("size") == 0)
     return out.select(
         F.col("id").cast(kind).alias(id_col),
         F.when(alone, F.col("id")).otherwise(F.col("_class")).alias("class_id"),
         F.when(alone, F.col("id")).otherwise(F.col("_copy")).alias("copy_id"),
         F.when(alone, 0).otherwise(F.col("_links")).cast("long").alias("n_links"),
+        (alone | (F.col("_leads") & (F.col("id") == F.col("_copy")))).alias("stays"),
+        "text_hash",
     )

@@ -53,31 +53,30 @@ class Model:
 
 
 def fit_arrays(bags: list[np.ndarray], labels: np.ndarray, bits: int = 20, min_docs: int = 3, min_lift: float = 3.0, rounds: int = 300) -> Model:
-    """bags: per document an int array (words, 1 + number of columns): sentence number, then hashes."""
+    """bags: per document a uint32 array (words, 1 + number of columns): sentence number, then hashes."""
     model = Model(bits, prior=False)
     model.weights = np.zeros(1 << bits, np.float32)
     toxic = labels.astype(bool)
     if not toxic.any() or toxic.all():
         return model
-    mask = (1 << bits) - 1
-    word = [b[:, 1:] & mask for b in bags]
-    seen = np.zeros((2, 1 << bits))
-    for w, y in zip(word, toxic):
-        seen[int(y), np.unique(w)] += 1
+    mask = np.uint32((1 << bits) - 1)
+    seen = np.zeros((2, 1 << bits), np.int32)
+    for b, y in zip(bags, toxic):
+        seen[int(y), np.unique(b[:, 1:] & mask)] += 1
     # only words that are clearly commoner in toxic documents can be evidence; all others keep weight 0
     lift = (seen[1] / toxic.sum()) / ((seen[0] + 0.5) / (~toxic).sum())
     chosen = np.flatnonzero((seen[1] >= min_docs) & (lift >= min_lift))
-    place = np.full(1 << bits, -1, np.int64)
+    place = np.full(1 << bits, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     feature, owner, doc_of, n = [], [], [], 0
-    for d, (b, w) in enumerate(zip(bags, word)):
+    for d, b in enumerate(bags):
         if not len(b):
             continue
         count = int(b[-1, 0]) + 1
-        at = place[w]
+        at = place[b[:, 1:] & mask]
         r, c = np.nonzero(at >= 0)
         feature.append(at[r, c])
-        owner.append(b[r, 0] + n)
+        owner.append(b[r, 0].astype(np.int64) + n)
         doc_of.append(np.full(count, d))
         n += count
     feature, owner, doc_of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (feature, owner, doc_of))
@@ -119,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: i
 
     rows = sorted(sample.mapInArrow(bags, "label int, order long, bag binary").collect(), key=lambda r: (r.order, r.bag))
     width = 2 + len(STEMS)
-    return fit_arrays([np.frombuffer(r.bag, "<u4").reshape(-1, width).astype(np.int64) for r in rows], np.array([r.label for r in rows]))
+    return fit_arrays([np.frombuffer(r.bag, "<u4").reshape(-1, width) for r in rows], np.array([r.label for r in rows]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -536,3 +536,45 @@ def test_suffix_dedup_against_brute_force(spark, hot):
     text = suffix_dedup.cut(d, ranges, as_text=True)
     assert text.columns == d.columns and text.count() == len(rows)
     assert suffix_dedup.dedup(docs(spark, [])).count() == 0
+
+
+# ---------------------------------------------------------------- names that clash
+
+
+def test_rewriting_operators_keep_columns_of_any_name(spark):
+    rng = random.Random(31)
+    shared = "\n".join(prose(rng, 12) for _ in range(3))
+    names = ["id", "hash", "key", "row", "gone", "removed", "_text", "_id", "_hash", "_gone", "_removed", "_chars", "n_lines", "n_removed_lines", "had_text"]
+    rows = [(i, f"{prose(rng, 20)}\n{shared}" if i % 2 else None) for i in range(6)]
+    d = spark.createDataFrame([(i, t, *range(10 * i, 10 * i + len(names))) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    want = {i: tuple(range(10 * i, 10 * i + len(names))) for i, _ in rows}
+    for out in (linedup.dedup_lines(d, counts=False), suffix_dedup.dedup(d, as_text=True)):
+        assert out.columns == d.columns
+        got = {r[0]: (r[1], r[2:]) for r in out.collect()}
+        assert {i: rest for i, (_, rest) in got.items()} == want
+        assert got[1][0] == rows[1][1] and shared not in got[3][0] and got[0][0] is None
+    counted = linedup.dedup_lines(d)
+    assert sorted(counted.columns) == sorted(d.columns) and {(r.n_lines, r.n_removed_lines) for r in counted.where("doc_id = 3").collect()} == {(4, 3)}
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """Every block of the minimum size that brute force over all pairs aligns goes, short and blank lines included."""
+    rng = random.Random(41)
+    stock = [prose(rng, n, 60) for n in (2, 3, 5, 7, 7, 8, 11, 14) for _ in range(4)] + ["", ""]
+    rows = [(i, "\n".join([*(rng.choice(stock) if rng.random() < 0.6 else prose(rng, rng.randrange(1, 9)) for _ in range(9))])) for i in range(40)]
+    rows += [(100 + k, rows[k][1]) for k in range(6)] + [(200, "\n\n".join(stock[12:20])), (201, "x\n" + "\n\n".join(stock[12:20]) + "\ny")]
+
+    def sliced(t):
+        lines = [x.strip(" ") for x in t.split("\n")]
+        body = b"".join(hashlib.blake2b(x.encode(), digest_size=8).digest() for x in lines)
+        return linedup.slices(body, np.array([len(x.split()) for x in lines], "<i4").tobytes(), 10)
+
+    cut = {i: sliced(t) for i, t in rows}
+    want = {}
+    for i, t in rows:
+        gone = {x for j, _ in rows if j < i for x in linedup.common_blocks(cut[j], cut[i], 10)}
+        want[i] = len(gone)
+    got = {r.doc_id: r.n_removed_lines for r in linedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got[100] == rows[0][1].count("\n") + 1 and got[201] >= 7
+    found, whole = sum(min(got[i], want[i]) for i in want), sum(want.values())
+    assert whole > 50 and found >= 0.98 * whole and all(got[i] <= want[i] for i in want)
