@@ -30,12 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return context._sieveworks_scratch
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write df as a table in the shared folder and read it back."""
+def materialize(df: DataFrame, tag: str, tidy: bool = False) -> DataFrame:
+    """Cut lineage: write df as a table in the shared folder and read it back.
+
+    tidy: df shuffles much.  Spark deletes shuffle files when the driver's garbage is collected, and a driver with
+    little garbage keeps them to the end; so it is asked to collect now that no later step reads them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    if tidy:
+        spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(tables: list[DataFrame]) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more, as all that was made of them is written itself."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._table_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    tables.clear()
 
 
 def shuffle_width(spark: SparkSession) -> int:

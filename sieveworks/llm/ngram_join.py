@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize
+from .common import chunks, discard, materialize
 from .components import components
 from .hashing import hashed_words
 
@@ -184,15 +184,17 @@ def runs_needed(threshold: float, recall: float, depth: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
 
 
-def candidate_edges(reps: DataFrame, threshold: float, recall: float, limit: int) -> DataFrame:
+def candidate_edges(reps: DataFrame, threshold: float, recall: float, limit: int, tables: list[DataFrame]) -> DataFrame:
     """(a, b): edges that connect the representatives of similar sets; reps: (id, sketch, check).
 
+    tables gets the tables that the edges are read from.
+
     Sets whose buckets had to be split go through further runs, as many as the depth that was reached needs.
     """
     done = depth = 0
     sets, edges = reps.withColumn("tag", F.col("id")), None
     while (runs := runs_needed(threshold, recall, depth)) > done:
-        found, deep, reached = _search(sets, range(done, runs), threshold, limit)
+        found, deep, reached = _search(sets, range(done, runs), threshold, limit, tables)
         edges = found if edges is None else edges.union(found)
         done, depth = runs, max(depth, reached)
         if deep is None or runs_needed(threshold, recall, depth) <= done:
@@ -201,8 +203,13 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, limit: int
     return edges
 
 
-def _search(reps: DataFrame, runs: range, threshold: float, limit: int) -> tuple[DataFrame, DataFrame | None, int]:
+def _search(reps: DataFrame, runs: range, threshold: float, limit: int, tables: list[DataFrame]) -> tuple[DataFrame, DataFrame | None, int]:
     """Edges found by these runs over reps (id, sketch, check, tag), the sets of buckets that were split, and how often in a row."""
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        tables.append(materialize(df, tag))
+        return tables[-1]
+
     share = threshold + (1 - threshold) / 256  # bytes of different tokens agree by chance
     agree = max(1, math.floor(CHECKS * share - SLACK * math.sqrt(CHECKS * share * (1 - share))))
     order = np.random.default_rng(5).permutation(SKETCH).tolist()
@@ -216,24 +223,24 @@ def _search(reps: DataFrame, runs: range, threshold: float, limit: int) -> tuple
     # tag: sets with one tag are known to be in one candidate group, a bucket with one tag has nothing to find
     nodes = reps.select("id", "tag", F.explode(F.array(*[F.xxhash64(F.lit(r), F.lit(j), token(j)) for r, j in start])).alias("key"))
     sizes = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key", "n")
-    live = materialize(nodes.drop("tag").join(sizes, "key"), "live")
+    live = kept(nodes.drop("tag").join(sizes, "key"), "live")
     # similar sets meet in most runs: equal small buckets are compared once
     small = live.where(F.col("n") <= limit).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids").distinct()
     small = small.select(F.xxhash64("ids").alias("key"), F.explode("ids").alias("id")).join(reps.select("id", "check"), "id")
-    edges = materialize(_brute_force(small, agree), "found")
+    edges = kept(_brute_force(small, agree), "found")
     live = live.where(F.col("n") > limit)
     if live.isEmpty():
         return edges, None, 0
     large, deep, depth = live.join(reps, "id").select("key", "id", "sketch", "check", "tag"), None, 0
     while True:
-        judged = materialize(_like_first(large, agree), "judged")
+        judged = kept(_like_first(large, agree), "judged")
         edges = edges.union(judged.where("like AND id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         if depth == 0:
             # what all runs have linked so far counts in every bucket: a group of near copies is known by now
             label = components(edges).select("id", "label")
             judged = judged.join(label, "id", "left").withColumn("tag", F.coalesce("label", "tag")).drop("label")
             open_ = judged.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key")
-            judged = materialize(judged.join(open_, "key"), "judged")
+            judged = kept(judged.join(open_, "key"), "judged")
             deep = judged.groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("check").alias("check"), F.first("tag").alias("tag"))
         if depth == GUARD:  # only sets that agree in every token come here: they are one candidate group
             lowest = judged.groupBy("key").agg(F.min("id").alias("a"))
@@ -244,11 +251,11 @@ def _search(reps: DataFrame, runs: range, threshold: float, limit: int) -> tuple
         keys = F.array_distinct(F.array_compact(F.array(child(1), second)))
         nodes = judged.select(F.explode(keys).alias("key"), "id", "sketch", "check", "tag")
         sizes = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key", "n")
-        live = materialize(nodes.join(sizes, "key"), "live")
+        live = kept(nodes.join(sizes, "key"), "live")
         if live.isEmpty():
             return edges, deep, depth
         depth += 1
-        edges = edges.union(materialize(_brute_force(live.where(F.col("n") <= limit), agree), "found"))
+        edges = edges.union(kept(_brute_force(live.where(F.col("n") <= limit), agree), "found"))
         large = live.where(F.col("n") > limit).drop("n")
         if large.isEmpty():
             return edges, deep, depth
@@ -292,7 +299,9 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 1
     reps = materialize(known.groupBy("h1", "h2").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("check").alias("check")), "reps")
     # two different sets may have the same smallest id only when rows share ids; a number of their own keeps them apart
     reps = reps.withColumn("id", F.xxhash64("h1", "h2"))
-    group = components(candidate_edges(reps.select("id", "sketch", "check"), threshold, recall, limit)).withColumnRenamed("label", "grp")
+    tables: list[DataFrame] = []
+    group = components(candidate_edges(reps.select("id", "sketch", "check"), threshold, recall, limit, tables)).withColumnRenamed("label", "grp")
+    discard(tables)
     members = group.join(reps.select("id", "h1", "h2", "copy_id", "copies", "size"), "id")
     size = members.groupBy("grp").agg(F.count("*").alias("members"), F.sum(F.col("size").cast("long")).alias("tokens"))
     width = F.ceil(F.greatest(F.col("members") / block, F.col("tokens") / BLOCK_TOKENS)).cast("int")
@@ -342,7 +351,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 1
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("other", pa.int64()), ("links", pa.int64())]))
 
     blocks = placed.groupBy("grp", "i", "j").agg(F.collect_list(F.struct("id", "block", "copies", "tokens")).alias("members"))
-    checked = materialize(blocks.select("members", "i", "j").mapInArrow(verify, "id long, other long, links long"), "checked")
+    checked = materialize(blocks.select("members", "i", "j").mapInArrow(verify, "id long, other long, links long"), "checked", tidy=True)
     links = checked.groupBy("id").agg(F.sum("links").alias("links"))
     label = components(checked.where("links > 0").select(F.col("id").alias("a"), F.col("other").alias("b")))
     # the class takes the smallest document id of its members

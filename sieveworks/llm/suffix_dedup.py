@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, shuffle_width
+from .common import chunks, discard, materialize, shuffle_width
 
 K = 20
 _POS = 28  # bits of a position within a chunk
@@ -395,10 +395,12 @@ def removed_ranges(docs: DataFrame, length: int = 50, hot: int = 20000, id_col:
     announced = _announce(long_enough, length, 8 * width)
     verdicts = _verdicts(announced, hot, width).groupBy("id").agg(F.collect_list("verdict").alias("verdict"))
     told = long_enough.join(verdicts, "id").select("id", F.xxhash64("text").alias("hash"), "text", "verdict")
-    rows = materialize(_apply(told, length), "stretches")
+    rows = materialize(_apply(told, length), "stretches", tidy=True)
     found = _search(rows, length, width)
     gone = rows.where(F.col("act") == REMOVE).select("id", "hash", F.col("bytes").alias("gone")).union(found)
-    return gone.groupBy("id", "hash").agg(F.collect_list("gone").alias("gone"))
+    out = materialize(gone.groupBy("id", "hash").agg(F.collect_list("gone").alias("gone")), "gone", tidy=True)
+    discard([rows])
+    return out
 
 
 def cut(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
