@@ -14,11 +14,14 @@ from sieveworks.llm import linedup, ngram_join, packing, suffix_dedup, toxicity
 from sieveworks.llm.common import materialize, table
 
 
-def _with_text(before: DataFrame, after: DataFrame) -> DataFrame:
-    """after in before's columns, n_chars brought up to date; documents that lost all their text go."""
-    lost = (F.length(F.trim("text")) == 0) & (F.col("_chars") > 0)
-    after = after.where(~F.coalesce(lost, F.lit(False)))
-    return after.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in before.columns))
+def _rewritten(docs: DataFrame, rewrite) -> DataFrame:
+    """docs with the texts that rewrite makes, n_chars brought up to date; documents that lost all their text go."""
+    had = "had_text"
+    while had in docs.columns:
+        had += "_"
+    after = rewrite(docs.withColumn(had, F.coalesce(F.length(F.trim("text")) > 0, F.lit(False))))
+    lost = F.col(had) & (F.length(F.trim("text")) == 0)
+    return after.where(~lost).select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,21 +32,23 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned blocks of lines go from the later of two overlapping documents."""
-    marked = docs.withColumn("_chars", F.length(F.trim("text")))
-    return _with_text(docs, linedup.dedup_lines(marked))
+    return _rewritten(docs, lambda d: linedup.dedup_lines(d, counts=False))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by an n-gram Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
-    groups = ngram_join.join(docs.select("doc_id", "text"))
-    gone = groups.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """Of documents linked by an n-gram Jaccard similarity of 0.8 or more, the one with the smallest id stays; rows without links all stay."""
+    linked = ngram_join.join(docs.select("doc_id", "text")).where("n_links > 0")
+    linked = linked.select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias("key"), "stays").distinct()
+    # the columns stay in a struct, so that no name can clash
+    rows = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    judged = materialize(rows.join(linked, "key", "left").where(F.coalesce("stays", F.lit(True))), "judged")
+    once = judged.where("stays").dropDuplicates(["key"])  # repeated rows of a document that stays
+    return once.unionByName(judged.where("stays IS NULL")).select("row.*")
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings of 50 bytes that an earlier document has go."""
-    marked = docs.withColumn("_chars", F.length(F.trim("text")))
-    return _with_text(docs, suffix_dedup.dedup(marked, as_text=True))
+    return _rewritten(docs, lambda d: suffix_dedup.dedup(d, as_text=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
