@@ -298,7 +298,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 1
     known = sig.where("id IS NOT NULL AND size > 0")
     reps = materialize(known.groupBy("h1", "h2").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("check").alias("check")), "reps")
     # two different sets may have the same smallest id only when rows share ids; a number of their own keeps them apart
-    reps = reps.withColumn("id", F.xxhash64("h1", "h2"))
+    sets_of, reps = reps, reps.withColumn("id", F.xxhash64("h1", "h2"))
     tables: list[DataFrame] = []
     group = components(candidate_edges(reps.select("id", "sketch", "check"), threshold, recall, limit, tables)).withColumnRenamed("label", "grp")
     discard(tables)
@@ -361,7 +361,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 1
     per_set = reps.join(named, "id", "left").select("h1", "h2", F.col("copy_id").alias("_copy"), F.coalesce("leads", F.lit(True)).alias("_leads"), F.coalesce("class_id", "copy_id").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"))
     out = sig.select("id", "text_hash", "size", "h1", "h2").join(per_set, ["h1", "h2"], "left")
     alone = F.col("id").isNull() | (F.col("size") == 0)
-    return out.select(
+    out = out.select(
         F.col("id").cast(kind).alias(id_col),
         F.when(alone, F.col("id")).otherwise(F.col("_class")).alias("class_id"),
         F.when(alone, F.col("id")).otherwise(F.col("_copy")).alias("copy_id"),
@@ -369,3 +369,6 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 1
         (alone | (F.col("_leads") & (F.col("id") == F.col("_copy")))).alias("stays"),
         "text_hash",
     )
+    out = materialize(out, "classes")
+    discard([sig, sets_of, members, checked])
+    return out
