@@ -41,9 +41,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     linked = linked.select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias("key"), "stays").distinct()
     # the columns stay in a struct, so that no name can clash
     rows = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    judged = materialize(rows.join(linked, "key", "left").where(F.coalesce("stays", F.lit(True))), "judged")
-    once = judged.where("stays").dropDuplicates(["key"])  # repeated rows of a document that stays
-    return once.unionByName(judged.where("stays IS NULL")).select("row.*")
+    judged = rows.join(linked, "key", "left").where(F.coalesce("stays", F.lit(True)))
+    # of the repeated rows of a document that stays one is enough; each row without links has a number of its own
+    number = F.when(F.col("stays").isNull(), F.monotonically_increasing_id() + 1).otherwise(0)
+    return judged.withColumn("number", number).dropDuplicates(["key", "number"]).select("row.*")
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
