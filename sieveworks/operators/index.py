@@ -7,9 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.text import analyse
 
+#: What Spark reads as one split unless it is told otherwise.
+SPLIT_BYTES = 1 << 27
+
+
+def spread(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs dealt over all cores by id if they are so small that a scan may leave cores idle; larger inputs stay as they are split.
+
+    Postings are grouped by id among others, so what is dealt here isn't shuffled again for them.
+    """
+    context = docs.sparkSession.sparkContext
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.repartition(context.defaultParallelism, id_col) if size < context.defaultParallelism * SPLIT_BYTES else docs
+
 
 def postings(docs: DataFrame, fields: dict[str, str], id_col: str = "doc_id", kind: str = "unigram") -> DataFrame:
     """(field, term, id, tf); fields maps index field names to columns.  Only the id and those columns are read."""
+    docs = spread(docs.select(id_col, *dict.fromkeys(c for c in fields.values() if c != id_col)), id_col)
     parts = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), analyse(c, kind).alias("terms")) for f, c in fields.items()])) if len(fields) > 1 else None
     if parts is None:
         ((field, column),) = fields.items()

@@ -11,7 +11,7 @@ def token_popularity(post: DataFrame, weights: DataFrame, tokens: DataFrame | No
     p = post.select("term", "id")
     if tokens is not None:
         p = p.join(tokens.select("term").distinct(), "term", "left_semi")
-    return p.join(weights.select("id", F.col("pop").cast("double").alias("pop")), "id").groupBy("term").agg(F.round(F.avg("pop"), 6).alias("mean_pop"), F.min("pop").alias("min_pop"))
+    return p.join(weights.select("id", F.col("pop").cast("double").alias("pop")), "id").groupBy("term").agg(F.avg("pop").alias("mean_pop"), F.min("pop").alias("min_pop"))
 
 
 def rollup(entities: DataFrame, bridge: DataFrame, left: str, right: str, weight: str) -> DataFrame:

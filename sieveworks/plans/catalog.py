@@ -1,7 +1,7 @@
 """Registered queries of the engine's own operators on the driver's tables, with equivalent DuckDB SQL.
 
-Roles: documents are the corpus, benchmark passages the queries, documents that hold a passage's first 40
-characters its relevant items (relevance 1 + quality label), event counts per user the documents' popularity.
+Roles: documents are the corpus, whole benchmark passages the queries, documents that hold a passage of
+at least JUDGED words its relevant items (relevance 1 + quality label), event counts per user the documents' popularity.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ..sources import text as lines
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 K = 20
+JUDGED = 6
 
 
 def query(sql: str | None = None):
@@ -40,12 +41,12 @@ def post(spark, d, kind="unigram"):
     return index.postings(t(spark, d, "documents"), {"content": "text"}, "doc_id", kind)
 
 
-def queries_(spark, d, first=None, kind="unigram"):
-    return index.query_terms(t(spark, d, "benchmark"), "item_id", "text", kind, first)
+def queries_(spark, d, kind="unigram"):
+    return index.query_terms(t(spark, d, "benchmark"), "item_id", "text", kind)
 
 
-def query_tokens(spark, d, kind="unigram", first=None):
-    return difficulty.query_tokens(t(spark, d, "benchmark"), "item_id", "text", kind, first)
+def query_tokens(spark, d, kind="unigram"):
+    return difficulty.query_tokens(t(spark, d, "benchmark"), "item_id", "text", kind)
 
 
 def pop(spark, d):
@@ -56,16 +57,18 @@ def pop(spark, d):
 
 def qrels(spark, d):
     docs, labels = t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "labels")
-    b = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 40).alias("head"))
-    # the passages are a benchmark of fixed size; a nested loop over that side only
-    hit = docs.crossJoin(F.broadcast(b))
-    hit = hit.where(F.contains("text", F.col("head")))
+    words, four = T.tokens("text"), lambda w, i: F.concat_ws(" ", F.slice(w, i, 4))
+    passages = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), words.alias("w")).where(F.size("w") >= JUDGED)
+    passages = passages.select("qid", "passage", four(F.col("w"), F.lit(2)).alias("key"))  # the first word may be the end of another in the document
+    runs = index.spread(docs, "doc_id").select("doc_id", "text", words.alias("w"))
+    runs = runs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: four(F.col("w"), i)))).alias("key"))
+    hit = runs.join(passages, "key").where(F.contains("text", F.col("passage")))
     lab = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return hit.join(lab, "doc_id", "left").select("qid", F.col("doc_id").alias("id"), (1 + F.coalesce("quality", F.lit(0))).alias("rel"))
 
 
-def run_(spark, d, k=K, first=8):
-    return rank.search(post(spark, d), queries_(spark, d, first), k)
+def run_(spark, d, k=K):
+    return rank.search(post(spark, d), queries_(spark, d), k)
 
 
 _TOK = r"list_filter(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
@@ -75,9 +78,8 @@ POST = f"p AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, un
 BPOST = f"bp AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({BI}) AS term FROM (SELECT doc_id, {TOK} AS w FROM documents)) GROUP BY ALL), bst AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ttf FROM bp GROUP BY term)"
 
 
-def q_sql(first: int | None = 8) -> str:
-    w = f"{TOK}[1:{first}]" if first else TOK
-    return f"q AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({w}) AS term FROM benchmark) GROUP BY ALL)"
+def q_sql() -> str:
+    return f"q AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOK}) AS term FROM benchmark) GROUP BY ALL)"
 
 
 BM25 = "ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))"
@@ -89,7 +91,7 @@ def top_sql(k: int = K, name: str = "r", source: str = "sc") -> str:
 
 
 POP = "pop AS (SELECT doc_id AS id, coalesce(n, 0) AS pop FROM documents LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) ON user_id = doc_id)"
-QREL = "lab AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id), qr AS (SELECT item_id AS qid, d.doc_id AS id, 1 + coalesce(quality, 0) AS rel FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 40)) LEFT JOIN lab ON lab.doc_id = d.doc_id)"
+QREL = f"lab AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id), qr AS (SELECT item_id AS qid, d.doc_id AS id, 1 + coalesce(quality, 0) AS rel FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND len({_TOK.format("b.text")}) >= {JUDGED} LEFT JOIN lab ON lab.doc_id = d.doc_id)"
 RUN = f"{POST}, {q_sql()}, {SC}, {top_sql()}"
 
 
@@ -123,14 +125,14 @@ def vocab_terms(spark, d):
 # ---------------------------------------------------------------- retrieval
 
 
-@query(f"WITH {POST}, {q_sql(None)}, {SC}, {top_sql()} SELECT qid, id, score, rank FROM r")
+@query(f"WITH {POST}, {q_sql()}, {SC}, {top_sql()} SELECT qid, id, score, rank FROM r")
 def bm25_topk(spark, d):
     return rank.search(post(spark, d), queries_(spark, d), K)
 
 
 @query(f"WITH {POST}, {q_sql()}, sc AS (SELECT qid, p.id, qtf * sqrt(tf) * power(1 + ln((n_docs + 1) / (df + 1)), 2) / sqrt(dl) AS s FROM q JOIN p USING (term) JOIN st USING (term) JOIN dl ON dl.id = p.id, fs), {top_sql()} SELECT qid, id, score, rank FROM r")
 def tfidf_topk(spark, d):
-    return rank.search(post(spark, d), queries_(spark, d, 8), K, similarity="tfidf")
+    return rank.search(post(spark, d), queries_(spark, d), K, similarity="tfidf")
 
 
 _TWO = f"f AS (SELECT doc_id, 'title' AS field, split_part(text, chr(10), 1) AS text FROM documents UNION ALL SELECT doc_id, 'content', text FROM documents), p AS (SELECT field, doc_id AS id, term, count(*) AS tf FROM (SELECT field, doc_id, unnest({TOK}) AS term FROM f) GROUP BY ALL), st AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL), dl AS (SELECT field, id, sum(tf) AS dl FROM p GROUP BY ALL), fs AS (SELECT field, count(*) AS n_docs, avg(dl) AS avgdl FROM dl GROUP BY field)"
@@ -140,17 +142,17 @@ _TWO = f"f AS (SELECT doc_id, 'title' AS field, split_part(text, chr(10), 1) AS
 def bm25_field_boost(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("title"))
     both = index.postings(docs, {"title": "title", "content": "text"})
-    return rank.search(both, queries_(spark, d, 8), K, boosts=rank.mix("title", "content"))
+    return rank.search(both, queries_(spark, d), K, boosts=rank.mix("title", "content"))
 
 
-@query(f"WITH {POST}, {q_sql(3)}, {SC}, need AS (SELECT qid, count(*) AS need FROM q GROUP BY qid), a AS (SELECT qid, id FROM sc JOIN need USING (qid) GROUP BY qid, id, need HAVING count(DISTINCT term) = need), sa AS (SELECT sc.* FROM sc JOIN a USING (qid, id)), {top_sql(source='sa')} SELECT qid, id, score, rank FROM r")
+@query(f"WITH {POST}, {q_sql()}, {SC}, need AS (SELECT qid, count(*) AS need FROM q GROUP BY qid), a AS (SELECT qid, id FROM sc JOIN need USING (qid) GROUP BY qid, id, need HAVING count(DISTINCT term) = need), sa AS (SELECT sc.* FROM sc JOIN a USING (qid, id)), {top_sql(source='sa')} SELECT qid, id, score, rank FROM r")
 def bm25_and_topk(spark, d):
-    return rank.search(post(spark, d), queries_(spark, d, 3), K, operator="and")
+    return rank.search(post(spark, d), queries_(spark, d), K, operator="and")
 
 
 @query(f"WITH {POST}, {POP}, {q_sql()}, {SC}, g AS (SELECT qid, id, round(sum(s), 6) AS score FROM sc GROUP BY qid, id), b AS (SELECT qid, id, round(ln(score) + ln(CASE WHEN pop = 0 THEN 1 ELSE pop END), 6) AS s FROM g JOIN pop USING (id) WHERE score > 0), {top_sql(source='b')} SELECT qid, id, score, rank FROM r")
 def bm25_pop_boost(spark, d):
-    scores = rank.combine(rank.term_scores(post(spark, d), queries_(spark, d, 8)))
+    scores = rank.combine(rank.term_scores(post(spark, d), queries_(spark, d)))
     return rank.top_k(rank.popularity_boost(scores, pop(spark, d), "id", "pop"), K)
 
 
@@ -171,7 +173,7 @@ def id_lookup(spark, d):
 
 @query(f"WITH {RUN}, i AS (SELECT qid, id, count(*) AS n_terms, round(max(idf), 6) AS max_idf FROM sc GROUP BY qid, id) SELECT r.qid, r.id, n_terms, max_idf FROM r JOIN i USING (qid, id)")
 def idf_terms(spark, d):
-    scores = rank.term_scores(post(spark, d), queries_(spark, d, 8))
+    scores = rank.term_scores(post(spark, d), queries_(spark, d))
     listed = rank.idf_list(scores).join(rank.top_k(rank.combine(scores), K).select("qid", "id"), ["qid", "id"])
     pairs = F.split("idfs", " ")
     return listed.select("qid", "id", F.size(pairs).cast("long").alias("n_terms"), F.array_max(F.transform(pairs, lambda x: F.substring_index(x, ":", -1).cast("double"))).alias("max_idf"))
@@ -289,12 +291,12 @@ def subset_quality(spark, d):
 
 @query(f"WITH {POST}, {POP} SELECT term, round(avg(pop), 6) AS mean_pop, CAST(min(pop) AS DOUBLE) AS min_pop FROM p JOIN pop USING (id) GROUP BY term")
 def token_popularity(spark, d):
-    return popularity.token_popularity(post(spark, d), pop(spark, d))
+    return popularity.token_popularity(post(spark, d), pop(spark, d)).withColumn("mean_pop", F.round("mean_pop", 6))
 
 
-@query(f"WITH {POST}, {POP}, {q_sql(None)} SELECT term, round(avg(pop), 6) AS mean_pop, CAST(min(pop) AS DOUBLE) AS min_pop FROM p JOIN pop USING (id) WHERE term IN (SELECT term FROM q) GROUP BY term")
+@query(f"WITH {POST}, {POP}, {q_sql()} SELECT term, round(avg(pop), 6) AS mean_pop, CAST(min(pop) AS DOUBLE) AS min_pop FROM p JOIN pop USING (id) WHERE term IN (SELECT term FROM q) GROUP BY term")
 def token_popularity_query_terms(spark, d):
-    return popularity.token_popularity(post(spark, d), pop(spark, d), queries_(spark, d))
+    return popularity.token_popularity(post(spark, d), pop(spark, d), queries_(spark, d)).withColumn("mean_pop", F.round("mean_pop", 6))
 
 
 @query(f"WITH {POP} SELECT id, round((pop + 0.5e0) / (sum(pop) OVER () + count(*) OVER () * 0.5e0), 9) AS smoothed FROM pop")
@@ -315,14 +317,14 @@ def flatten_frequency(spark, d):
 
 # ---------------------------------------------------------------- difficulty and features
 
-_QT = f"qt AS (SELECT item_id AS qid, pos, w[pos] AS term FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT item_id, {TOK}[1:8] AS w FROM benchmark)))"
+_QT = f"qt AS (SELECT item_id AS qid, pos, w[pos] AS term FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT item_id, {TOK} AS w FROM benchmark)))"
 _ST = f"{POST}, {_QT}, z AS (SELECT qt.*, coalesce(df, 0) AS df, coalesce(ttf, 0) AS ttf FROM qt LEFT JOIN st USING (term))"
 #: The cache is the documents of even id, the rest the others; both are smoothed with the whole.
 _HALF = "cp AS (SELECT * FROM p WHERE id % 2 = {0}), cst AS (SELECT term, count(*) AS df, sum(tf) AS ttf FROM cp GROUP BY term), cfs AS (SELECT count(DISTINCT id) AS n_docs, sum(tf) AS sum_ttf FROM cp)"
 
 
 def _toks(spark, d):
-    return query_tokens(spark, d, first=8)
+    return query_tokens(spark, d)
 
 
 @query(f"WITH {_ST} SELECT qid, {r6('1.0 / count(*) + ln((SELECT sum_ttf FROM fs) / (sum(ttf) + 1)) / count(*)')} AS clarity FROM z GROUP BY qid")
@@ -333,7 +335,7 @@ def difficulty_clarity(spark, d):
 
 @query(f"WITH {POST}, {q_sql()}, {SC}, per AS (SELECT qid, term, var_pop(s) AS v, avg(s) AS m FROM sc GROUP BY ALL), n AS (SELECT qid, count(*) AS n FROM q GROUP BY qid), g AS (SELECT qid, max(v) AS mv, sum(v) AS sv, max(m) AS mm, sum(m) AS sm FROM per GROUP BY qid) SELECT qid, {r6('coalesce(mv, 0)')} AS max_var, {r6('coalesce(sv, 0) / n')} AS avg_var, {r6('coalesce(mm, 0)')} AS max_mean, {r6('coalesce(sm, 0) / n')} AS avg_mean FROM n LEFT JOIN g USING (qid)")
 def difficulty_variance(spark, d):
-    return difficulty.score_spread(rank.term_scores(post(spark, d), queries_(spark, d, 8)), _toks(spark, d))
+    return difficulty.score_spread(rank.term_scores(post(spark, d), queries_(spark, d)), _toks(spark, d))
 
 
 @query(f"WITH {_ST} SELECT qid, {r6('sum(ln((ttf + 1) / (SELECT sum_df + sum_ttf FROM fs)))')} AS ln_lm FROM z GROUP BY qid")
@@ -377,7 +379,7 @@ def difficulty_popularity(spark, d):
 def _features(spark, d, kind):
     p = post(spark, d, kind)
     own = p.where("id % 2 = 0")
-    tokens = query_tokens(spark, d, kind, 8)
+    tokens = query_tokens(spark, d, kind)
     return difficulty.features(tokens, index.term_stats(own), index.field_stats(own), index.term_stats(p), index.field_stats(p), popularity.token_popularity(own, pop(spark, d), tokens))
 
 
@@ -386,9 +388,9 @@ def _features_sql(kind: str) -> str:
     docs = "documents" if kind == "unigram" else f"(SELECT doc_id, {TOK} AS w FROM documents)"
     bench = "benchmark" if kind == "unigram" else f"(SELECT item_id, {TOK} AS w FROM benchmark)"
     return f"""WITH {POP}, p AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({words}) AS term FROM {docs}) GROUP BY ALL), st AS (SELECT term, sum(tf) AS ttf FROM p GROUP BY term), {_HALF.format(0)},
- tp AS (SELECT term, round(avg(pop), 6) AS mp, CAST(min(pop) AS DOUBLE) AS lp FROM cp JOIN pop USING (id) GROUP BY term), qt AS (SELECT item_id AS qid, unnest(({words})[1:8]) AS term FROM {bench}),
+ tp AS (SELECT term, avg(pop) AS mp, CAST(min(pop) AS DOUBLE) AS lp FROM cp JOIN pop USING (id) GROUP BY term), qt AS (SELECT item_id AS qid, unnest({words}) AS term FROM {bench}),
  x AS (SELECT qid, coalesce(cst.df, 0) AS df, mp, lp, 0.9e0 * coalesce(cst.ttf, 0) / (SELECT sum_ttf FROM cfs) + (1 - 0.9e0) * coalesce(st.ttf, 0) / (SELECT sum(tf) FROM p) AS p FROM qt LEFT JOIN cst USING (term) LEFT JOIN st USING (term) LEFT JOIN tp USING (term))
- SELECT qid, {r6('avg(CASE WHEN df > 0 THEN 1.0 ELSE 0 END)')} AS covered, {r6('sum(df / (SELECT n_docs FROM cfs)) / count(*)')} AS mean_df, {r6('min(df) / (SELECT n_docs FROM cfs)')} AS min_df, {r6('coalesce(sum(mp), 0) / count(*)')} AS mean_mean, {r6('coalesce(sum(lp), 0) / count(*)')} AS mean_min, {r6('coalesce(min(mp), 0)')} AS min_mean, {r6('coalesce(min(lp), 0)')} AS min_min, {r6('sum(CASE WHEN p > 0 THEN ln(p) ELSE 0 END)')} AS log_likelihood FROM x GROUP BY qid"""
+ SELECT qid, {r6('avg(CASE WHEN df > 0 THEN 1.0 ELSE 0 END)')} AS covered, {r6('sum(df) / ((SELECT n_docs FROM cfs) * count(*))')} AS mean_df, {r6('min(df) / (SELECT n_docs FROM cfs)')} AS min_df, {r6('coalesce(sum(mp), 0) / count(*)')} AS mean_mean, {r6('coalesce(sum(lp), 0) / count(*)')} AS mean_min, {r6('coalesce(min(mp), 0)')} AS min_mean, {r6('coalesce(min(lp), 0)')} AS min_min, {r6('sum(CASE WHEN p > 0 THEN ln(p) ELSE 0 END)')} AS log_likelihood FROM x GROUP BY qid"""
 
 
 @query(_features_sql("unigram"))
@@ -426,10 +428,10 @@ def rel_bridge_3way(spark, d):
     return relational.bridge(part, link, sup, ("p_partkey", "l_partkey"), ("s_suppkey", "l_suppkey")).groupBy("p_brand", "s_name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, c_name, n_name, p_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey WHERE o_custkey % 50 = 0")
+@query("SELECT o_orderkey, c_name, n_name, p_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey ")
 def rel_left_chain(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", "o_custkey")
-    ids = o.where("o_custkey % 50 = 0").select("o_orderkey")
+    ids = o.select("o_orderkey")
     out = relational.tuple_tree(ids, o, "o_orderkey", [])
     out = out.join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey"), "o_custkey", "left")
     out = out.join(t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left")
@@ -510,9 +512,9 @@ def left_coalesce(spark, d):
     return pop(spark, d)
 
 
-@query("SELECT doc_id FROM documents WHERE replace(substr(text, 1, 40), chr(13), '') <> lower(substr(text, 1, 40))")
+@query("SELECT doc_id FROM documents WHERE replace(text, chr(13), '') <> lower(text)")
 def hard_queries(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("q"), F.substring("text", 1, 40).alias("n"))
+    docs = t(spark, d, "documents").select("doc_id", F.col("text").alias("q"), F.col("text").alias("n"))
     return relational.hard_queries(docs, "q", "n").select("doc_id")
 
 
@@ -525,9 +527,9 @@ def rel_four_way(spark, d):
     return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("n_name", "c_name", "o_orderkey", "l_linenumber")
 
 
-@query("WITH i AS (SELECT o_custkey % 7 AS qid, o_orderkey AS id FROM orders WHERE o_orderkey % 100 = 0) SELECT qid, count(*) AS n FROM i JOIN lineitem a ON a.l_orderkey = i.id JOIN lineitem b ON b.l_orderkey = i.id GROUP BY qid")
+@query("WITH i AS (SELECT o_custkey % 7 AS qid, o_orderkey AS id FROM orders) SELECT qid, count(*) AS n FROM i JOIN lineitem a ON a.l_orderkey = i.id JOIN lineitem b ON b.l_orderkey = i.id GROUP BY qid")
 def relation_counts(spark, d):
-    ids = t(spark, d, "orders").where("o_orderkey % 100 = 0").select((F.col("o_custkey") % 7).alias("qid"), F.col("o_orderkey").alias("id"))
+    ids = t(spark, d, "orders").select((F.col("o_custkey") % 7).alias("qid"), F.col("o_orderkey").alias("id"))
     li = t(spark, d, "lineitem").select("l_orderkey")
     return relational.relation_counts(ids, [(li, "l_orderkey"), (li, "l_orderkey")]).select("qid", F.col("n").cast("long").alias("n"))
 
@@ -541,11 +543,11 @@ def id_remap_dedup(spark, d):
 _CUT = "trim(regexp_extract({0}, '^([^:(]*)', 1))"
 
 
-@query(f"WITH p AS (SELECT p_partkey AS k, lower(CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' (x)' ELSE p_name || ': y' END) AS t FROM part), b AS (SELECT p_partkey AS v, lower(CASE p_partkey % 2 WHEN 0 THEN p_name ELSE p_name || ' (z)' END) AS t FROM part WHERE p_partkey <= 20), s1 AS (SELECT DISTINCT k, v, 1 AS stage FROM p JOIN b ON p.t = b.t), s2 AS (SELECT DISTINCT k, v, 2 AS stage FROM p JOIN b ON p.t = {_CUT.format('b.t')} WHERE k NOT IN (SELECT k FROM s1)), s3 AS (SELECT DISTINCT k, v, 3 AS stage FROM p JOIN b ON {_CUT.format('p.t')} = {_CUT.format('b.t')} WHERE k NOT IN (SELECT k FROM s1 UNION SELECT k FROM s2)) SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3")
+@query(f"WITH p AS (SELECT p_partkey AS k, lower(CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' (x)' ELSE p_name || ': y' END) AS t FROM part), b AS (SELECT p_partkey AS v, lower(CASE p_partkey % 2 WHEN 0 THEN p_name ELSE p_name || ' (z)' END) AS t FROM part), s1 AS (SELECT DISTINCT k, v, 1 AS stage FROM p JOIN b ON p.t = b.t), s2 AS (SELECT DISTINCT k, v, 2 AS stage FROM p JOIN b ON p.t = {_CUT.format('b.t')} WHERE k NOT IN (SELECT k FROM s1)), s3 AS (SELECT DISTINCT k, v, 3 AS stage FROM p JOIN b ON {_CUT.format('p.t')} = {_CUT.format('b.t')} WHERE k NOT IN (SELECT k FROM s1 UNION SELECT k FROM s2)) SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3")
 def cascade_title_match(spark, d):
     part = t(spark, d, "part").select("p_partkey", "p_name")
     probe = part.select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" (x)"))).otherwise(F.concat("p_name", F.lit(": y"))).alias("title"))
-    build = part.where("p_partkey <= 20").select(F.col("p_partkey").alias("v"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" (z)"))).alias("title"))
+    build = part.select(F.col("p_partkey").alias("v"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" (z)"))).alias("title"))
     return relational.cascade_match(probe, build, "k", "title", "v")
 
 
@@ -602,9 +604,9 @@ def regex_path_popularity(spark, d):
     return lines.parse_popularity(made)
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS key, lang, source, replace(replace(substr(text, 1, 30), ',', ' '), chr(10), ' ') AS query FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, lang, source, replace(replace(text, ',', ' '), chr(10), ' ') AS query FROM documents")
 def csv_repair(spark, d):
-    row = F.concat_ws(",", F.translate(F.substring("text", 1, 30), "\n", " "), F.col("doc_id").cast("string"), "lang", "source")
+    row = F.concat_ws(",", F.translate("text", "\n", " "), F.col("doc_id").cast("string"), "lang", "source")
     f = lines.repair_csv(t(spark, d, "documents").select(row.alias("value")), 4)
     return f.select(F.col("fields")[0].alias("query"), F.col("fields")[1].alias("key"), F.col("fields")[2].alias("lang"), F.col("fields")[3].alias("source"))
 
@@ -623,9 +625,9 @@ def qrel_scan(spark, d):
     return lines.parse_qrels(t(spark, d, "benchmark").select(F.format_string("%d Q0 d%d %d", "item_id", "item_id", F.col("item_id") % 4).alias("value")))
 
 
-@query("SELECT CAST(item_id AS INTEGER) AS qid, replace(replace(replace(substr(text, 1, 30), ',', ''), '\"', ''), chr(10), ' ') AS text FROM benchmark WHERE item_id % 2 = 0")
+@query("SELECT CAST(item_id AS INTEGER) AS qid, replace(replace(replace(text, ',', ''), '\"', ''), chr(10), ' ') AS text FROM benchmark WHERE item_id % 2 = 0")
 def query_file_scan(spark, d):
-    raw = t(spark, d, "benchmark").select("item_id", F.concat_ws(" ", F.translate(F.substring("text", 1, 30), "\n", " "), F.col("item_id").cast("string")).alias("value"))
+    raw = t(spark, d, "benchmark").select("item_id", F.concat_ws(" ", F.translate("text", "\n", " "), F.col("item_id").cast("string")).alias("value"))
     judged = t(spark, d, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").cast("int").alias("qid"))
     return lines.judged_queries(lines.parse_queries(raw.select("value")), judged)
 
@@ -653,13 +655,13 @@ def _answers(spark, d):
 
 _QA = f"""a AS (SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn - 1 AS qid, text FROM conversations WHERE role = 'assistant'), u AS (SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user'),
 p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({TOK}) AS term FROM a) GROUP BY ALL), st AS (SELECT term, count(*) AS df FROM p GROUP BY term), dl AS (SELECT id, sum(tf) AS dl FROM p GROUP BY id), fs AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
-q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({TOK}[1:6]) AS term FROM u) GROUP BY ALL), {SC}, {top_sql(50)}, qa AS (SELECT qid, id FROM a WHERE qid IN (SELECT qid FROM u))"""
+q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({TOK}) AS term FROM u) GROUP BY ALL), {SC}, {top_sql(50)}, qa AS (SELECT qid, id FROM a WHERE qid IN (SELECT qid FROM u))"""
 
 
 def _qa(spark, d):
     asked, given = _answers(spark, d)
     p = index.postings(given, {"body": "body"}, "id")
-    run = rank.search(p, index.query_terms(asked, "qid", "question", first=6), 50)
+    run = rank.search(p, index.query_terms(asked, "qid", "question"), 50)
     return run, given.join(asked.select("qid"), "qid", "left_semi").select("qid", "id")
 
 
@@ -765,7 +767,7 @@ def _tuple_sets(spark, d):
     tabs, q = _shop_tables(spark, d), _keywords(spark)
     part = index.postings(tabs["part"].select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text")), {"text": "text"}, "p_partkey")
     sup = index.postings(tabs["supplier"].withColumn("text", F.regexp_replace("s_name", "#0*", " ")), {"text": "text"}, "s_suppkey")
-    return {"part": networks.tuple_set(part, q, 50), "supplier": networks.tuple_set(sup, q, 50)}
+    return {"part": networks.tuple_set(part, q), "supplier": networks.tuple_set(sup, q)}
 
 
 @query()
@@ -774,7 +776,7 @@ def cn_search_topn(spark, d):
 
 
 def _ts_sql(name: str, table: str, key: str, text: str) -> str:
-    return f"{name}p AS (SELECT {key} AS id, term, count(*) AS tf FROM (SELECT {key}, unnest({_TOK.format(text)}) AS term FROM {table}) GROUP BY ALL), {name}st AS (SELECT term, count(*) AS df FROM {name}p GROUP BY term), {name}dl AS (SELECT id, sum(tf) AS dl FROM {name}p GROUP BY id), {name}fs AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM {name}dl), {name}s AS (SELECT qid, p.id, round(sum({BM25}), 6) AS score FROM q JOIN {name}p p USING (term) JOIN {name}st USING (term) JOIN {name}dl dl ON dl.id = p.id, {name}fs GROUP BY qid, p.id), {name} AS (SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rn FROM {name}s) WHERE rn <= 50)"
+    return f"{name}p AS (SELECT {key} AS id, term, count(*) AS tf FROM (SELECT {key}, unnest({_TOK.format(text)}) AS term FROM {table}) GROUP BY ALL), {name}st AS (SELECT term, count(*) AS df FROM {name}p GROUP BY term), {name}dl AS (SELECT id, sum(tf) AS dl FROM {name}p GROUP BY id), {name}fs AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM {name}dl), {name}s AS (SELECT qid, p.id, round(sum({BM25}), 6) AS score FROM q JOIN {name}p p USING (term) JOIN {name}st USING (term) JOIN {name}dl dl ON dl.id = p.id, {name}fs GROUP BY qid, p.id), {name} AS (SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rn FROM {name}s) WHERE rn <= 1000)"
 
 
 _CN = f"q AS (SELECT * FROM (VALUES (1, 'green'), (1, '3'), (2, 'steel'), (2, '7')) v(qid, term)), {_ts_sql('tp', 'part', 'p_partkey', 'concat_ws($$ $$, p_name, p_type)'.replace('$$', chr(39)))}, {_ts_sql('tsu', 'supplier', 's_suppkey', 'regexp_replace(s_name, $$#0*$$, $$ $$, $$g$$)'.replace('$$', chr(39)))}"

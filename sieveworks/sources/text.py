@@ -31,9 +31,13 @@ def path_list_by_stem(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_popularity(df: DataFrame) -> DataFrame:
-    """(id, pop) of lines '.../id.xml, count[,...]'; others are dropped."""
-    pattern = r"^.+/([^.]+)\.(xml|txt), ?([^,]+)(,.+)?$"
-    return df.select(F.regexp_extract("value", pattern, 1).alias("id"), F.expr(f"try_cast(regexp_extract(value, r'{pattern}', 3) AS DOUBLE)").alias("pop")).where("id <> '' AND pop IS NOT NULL")
+    """(id, pop) of lines 'folder/id.xml,count[,...]' (or .txt); others are dropped."""
+    cells = F.split("value", ",")
+    path = cells[0]
+    parts = F.split(F.substring_index(path, "/", -1), "[.]")
+    named = (F.instr(path, "/") > 0) & ~F.startswith(path, F.lit("/")) | (F.size(F.split(path, "/")) > 2)
+    fine = named & (F.size(cells) >= 2) & (F.size(parts) == 2) & parts[1].isin("xml", "txt") & (parts[0] != "")
+    return df.where(fine).select(parts[0].alias("id"), F.trim(cells[1]).try_cast("double").alias("pop")).where("pop IS NOT NULL")
 
 
 def popularity_map(spark: SparkSession, path: str) -> DataFrame:
@@ -41,10 +45,10 @@ def popularity_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_qrels(df: DataFrame) -> DataFrame:
-    """(qid, doc_id, rel) of lines 'qid Q0 doc rel'; rel 0 and repetitions are dropped."""
-    p = r"(\d+)\sQ?0\s(\w+)\s([0-9]+)"
-    g = lambda i: F.regexp_extract("value", p, i)
-    return df.select(g(1).alias("q"), g(2).alias("doc_id"), g(3).alias("r")).where("q <> ''").select(F.col("q").cast("int").alias("qid"), "doc_id", F.col("r").cast("int").alias("rel")).where("rel <> 0").dropDuplicates()
+    """(qid, doc_id, rel) of lines 'qid Q0 doc rel' (or 0 for Q0); rel 0 and repetitions are dropped."""
+    cells = F.split(F.trim("value"), "[ \t]+")
+    whole = df.where((F.size(cells) >= 4) & cells[1].isin("Q0", "0"))
+    return whole.select(cells[0].try_cast("int").alias("qid"), cells[2].alias("doc_id"), cells[3].try_cast("int").alias("rel")).where("qid IS NOT NULL AND rel <> 0").dropDuplicates()
 
 
 def qrels(spark: SparkSession, path: str) -> DataFrame:
