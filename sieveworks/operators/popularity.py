@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,12 @@ def moments(run: DataFrame, popularity: DataFrame, k: int = 20) -> DataFrame:
     p = F.col("pop").cast("double")
     j = run.where(F.col("rank") <= k).join(popularity.select("id", "pop"), "id").groupBy("qid").agg((F.sum(p) / k).alias("m"), (F.sum(p * p) / k).alias("m2"))
     return j.select("qid", F.round("m", 6).alias("mean"), F.round(F.col("m2") - F.col("m") * F.col("m"), 6).alias("var"))
+
+
+def top_hits(scores: DataFrame, weights: DataFrame, k: int = 10000) -> DataFrame:
+    """(qid, mean_mean, mean_min, min_mean, min_min) of each query term's mean and smallest weight over its k best hits; the cut is the measure's."""
+    place = F.row_number().over(Window.partitionBy("qid", "term").orderBy(F.round("score", 6).desc(), "id"))
+    hits = scores.withColumn("_place", place).where(F.col("_place") <= k).join(weights.select("id", F.col("pop").cast("double").alias("pop")), "id")
+    per = hits.groupBy("qid", "term").agg(F.sum("pop").alias("s"), F.count("*").alias("n"), F.min("pop").alias("low"))
+    mean, r = F.col("s") / F.col("n"), lambda x: F.round(x, 6)
+    return per.groupBy("qid").agg(r(F.avg(mean)).alias("mean_mean"), r(F.avg("low")).alias("mean_min"), r(F.min(mean)).alias("min_mean"), r(F.min("low")).alias("min_min"))

@@ -61,3 +61,9 @@ def shuffled(df: DataFrame, id_col: str, n: int, seed: int = 1) -> DataFrame:
 
 def modulo(df: DataFrame, id_col: str, n: int, part: int) -> DataFrame:
     return df.where(F.col(id_col) % n < part)
+
+
+def pick_word(df: DataFrame, id_col: str, words: list[str], seed: int = 1) -> DataFrame:
+    """df with ``keyword``: a word of the list for each row, each as likely."""
+    at = F.floor(_unit(F.lit(str(seed)), id_col) * len(words)).cast("int") + 1
+    return df.withColumn("keyword", F.element_at(F.array(*map(F.lit, words)), at))

@@ -808,6 +808,75 @@ def all_keywords_filter(spark, d):
     return t(spark, d, "part").where(T.all_keywords(F.concat_ws(" ", "p_name", "p_type"), F.array(F.lit("GREEN")))).select("p_partkey")
 
 
+# ---------------------------------------------------------------- predictors by name, wide vectors, labels
+
+
+@query(f"WITH {_ST} SELECT qid, 'scs' AS name, {r6('1.0 / count(*) + ln((SELECT sum_ttf FROM fs) / (sum(ttf) + 1)) / count(*)')} AS value FROM z GROUP BY qid UNION ALL SELECT qid, 'simple', {r6('avg(CASE WHEN ttf > 0 THEN 1.0 ELSE 0 END)')} FROM z GROUP BY qid UNION ALL SELECT qid, 'lm', {r6('sum(ln((ttf + 1) / (SELECT sum_df + sum_ttf FROM fs)))')} FROM z GROUP BY qid")
+def difficulty_by_name(spark, d):
+    p = post(spark, d)
+    stats, totals, tokens = index.term_stats(p), index.field_stats(p), _toks(spark, d)
+    parts = [difficulty.predict(n, tokens, stats, totals).select("qid", F.lit(n).alias("name"), "value") for n in ("scs", "simple", "lm")]
+    return relational.reduce(DataFrame.unionByName, parts)
+
+
+_NINE = ["covered", "mean_df", "min_df", "mean_mean", "mean_min", "min_mean", "min_min", "log_likelihood"]
+
+
+@query(f"SELECT u.qid, {', '.join(f'u.{c} AS {c}_uni, b.{c} AS {c}_bi' for c in _NINE)} FROM ({_features_sql('unigram')}) u FULL JOIN ({_features_sql('biword')}) b ON u.qid = b.qid")
+def features_stack(spark, d):
+    return difficulty.wide({"uni": _features(spark, d, "unigram"), "bi": _features(spark, d, "biword")})
+
+
+@query(f"WITH {POST}, {q_sql()}, {SC}, need AS (SELECT qid, count(*) AS need FROM q GROUP BY qid), a AS (SELECT qid, id FROM sc JOIN need USING (qid) GROUP BY qid, id, need HAVING count(DISTINCT term) = need), sa AS (SELECT sc.* FROM sc JOIN a USING (qid, id)), {top_sql(source='sa')} SELECT n.qid, {r6('coalesce(avg(score), 0)')} AS mean_score, {r6('coalesce(min(score), 0)')} AS min_score FROM need n LEFT JOIN r ON r.qid = n.qid GROUP BY n.qid")
+def features_and_scores(spark, d):
+    q = queries_(spark, d)
+    got = difficulty.score_features(rank.search(post(spark, d), q, K, operator="and"))
+    return q.select("qid").distinct().join(got, "qid", "left").na.fill(0.0, ["mean_score", "min_score"])
+
+
+@query(f"WITH {POST}, {POP}, {q_sql()}, {SC}, h AS (SELECT qid, term, id FROM (SELECT *, row_number() OVER (PARTITION BY qid, term ORDER BY round(s, 6) DESC, id) AS place FROM sc) WHERE place <= 10000), per AS (SELECT qid, term, sum(CAST(pop AS DOUBLE)) / count(*) AS mean, CAST(min(pop) AS DOUBLE) AS low FROM h JOIN pop USING (id) GROUP BY ALL) SELECT qid, {r6('avg(mean)')} AS mean_mean, {r6('avg(low)')} AS mean_min, {r6('min(mean)')} AS min_mean, {r6('min(low)')} AS min_min FROM per GROUP BY qid")
+def features_top_hits(spark, d):
+    return popularity.top_hits(rank.term_scores(post(spark, d), queries_(spark, d)), pop(spark, d))
+
+
+@query("SELECT doc_id, toxic FROM labels UNION ALL SELECT doc_id, toxic FROM labels, range(2) WHERE toxic = 1")
+def duplicate_class(spark, d):
+    return learn.duplicate_class(t(spark, d, "labels").select("doc_id", "toxic"), "toxic", 1, 2)
+
+
+_WORDS = ["archive", "basin", "copper", "delta", "ember"]
+
+
+@query(f"SELECT item_id, ([{', '.join(repr(w) for w in _WORDS)}])[CAST(floor({_U.format("'1|' || item_id")} * {len(_WORDS)}) AS INTEGER) + 1] AS keyword FROM benchmark")
+def random_keyword(spark, d):
+    return sampling.pick_word(t(spark, d, "benchmark").select("item_id"), "item_id", _WORDS)
+
+
+@query("(SELECT l_partkey AS p FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT p_partkey FROM part WHERE p_size < 20) EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+def intersect_except(spark, d):
+    li = t(spark, d, "lineitem")
+    both = li.where("l_quantity > 45").select(F.col("l_partkey").alias("p")).intersect(t(spark, d, "part").where("p_size < 20").select("p_partkey"))
+    return both.subtract(li.where("l_returnflag = 'R'").select("l_partkey"))
+
+
+@query("SELECT item_id AS qid, text FROM benchmark UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations WHERE role = 'user'")
+def query_sets(spark, d):
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text").unionByName(_answers(spark, d)[0].select("qid", F.col("question").alias("text")))
+
+
+@query(f"WITH {RUN}, {QREL}, n AS (SELECT qid, 2 * count(*) AS n FROM qr GROUP BY qid) SELECT n.qid, {r6('count(DISTINCT r.id) / any_value(n)')} AS value FROM n LEFT JOIN (SELECT r.* FROM r JOIN qr USING (qid, id) WHERE rel > 0) r ON r.qid = n.qid GROUP BY n.qid")
+def effectiveness_external(spark, d):
+    judged = qrels(spark, d)
+    return metrics.effectiveness(run_(spark, d), judged, "recall", judged.groupBy("qid").agg((2 * F.count("*")).alias("n")))
+
+
+@query(f"WITH {RUN}, {QREL}, n AS (SELECT DISTINCT qid FROM qr), f AS (SELECT qid, min(rank) AS k FROM r JOIN qr USING (qid, id) GROUP BY qid), c AS (SELECT qid, min(k) AS k FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS k FROM r WHERE id % 2 = 0) JOIN qr USING (qid, id) GROUP BY qid) SELECT n.qid, CASE WHEN coalesce(1.0 / f.k, 0) > coalesce(1.0 / c.k, 0) THEN 1 ELSE 0 END AS label FROM n LEFT JOIN f ON f.qid = n.qid LEFT JOIN c ON c.qid = n.qid")
+def cache_worse_label(spark, d):
+    run, judged = run_(spark, d), qrels(spark, d)
+    cut = metrics.dedup(run.where("id % 2 = 0"))
+    return learn.better_label(metrics.effectiveness(run, judged, "rrank"), metrics.effectiveness(cut, judged, "rrank"), "value")
+
+
 # ---------------------------------------------------------------- stream counterpart
 
 

@@ -184,6 +184,9 @@ def test_learning(spark):
     near = learn.nearest_classes(d, d.limit(5), ["a", "b"], "label", 3)
     assert near.where("p = 0").count() == 5
     assert learn.p_value(0.0) == 1.0
+    # tables of the t distribution
+    for t, n, p in ((2.0, 10, 0.0733880), (12.7062, 1, 0.05), (2.5706, 5, 0.05), (0.5, 3, 0.6514390), (1.96, 1e6, 0.0499957)):
+        assert abs(learn.p_value(t, n) - p) < 2e-5
     assert learn.minmax(d.select("a"), ["a"]).agg(F.max("a")).first()[0] == 1.0
 
 
