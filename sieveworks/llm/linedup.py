@@ -2,17 +2,18 @@
 
 Documents that share a run of lines of at least ``min_block_words`` words overlap.  Shared runs are
 found by the shortest runs from and up to each line, which every block of that size is made of,
-whatever the length of its lines.  Each holder of such a run is compared with the run's first ``rare``
-holders (smallest ids): a rare run, of ``rare`` holders or fewer, links all its holders with each other,
-and of a common one no holder is left out either, while links grow with the runs and not with the pairs
-of a group.  Overlapping documents are aligned by patience diff on all lines, short
+whatever the length of its lines.  Overlapping documents are aligned by patience diff on all lines, short
 and blank ones too, that lie in runs of at least
 ``min_block_words`` words which both hold: common head and tail, lines unique in both, the longest
 increasing run of those, and the same again in the gaps.  Aligned lines that follow each other in
 both documents form a block, with the blank lines at its edges; blocks of at least
-``min_block_words`` words are deleted from the later document.  What a document shares with all first
-holders of a common run in another order, or among repeats of the run, may stay unaligned; later
-holders of that run are not tried then.
+``min_block_words`` words are deleted from the later document.
+
+The result is that of aligning all pairs of overlapping documents.  An alignment reads of a document only
+the lines in runs that it shares with any other (its core), so documents with equal cores form a class:
+all but the first lose their core whole, and only classes are compared.  Each is aligned with the first
+``rare`` holders of each of its runs (smallest ids).  If that leaves lines of a run with more holders,
+the class is aligned with all of them; otherwise they could not add anything.
 
 Defined results: lines are compared without surrounding blanks; null text has no lines and stays
 null; rows with a null id stay as they are; rows of one id are not compared with each other; equal
@@ -127,6 +128,39 @@ def common_blocks(a: tuple, b: tuple, min_words: int) -> list[int]:
     return sorted(set(out))
 
 
+def digest(x: bytes) -> int:
+    return int.from_bytes(blake2b(x, digest_size=8).digest(), "little", signed=True)
+
+
+def edges(words: list[int], start: int, end: int) -> tuple[int, int]:
+    """The stretch with the blank lines at its edges."""
+    while start and not words[start - 1]:
+        start -= 1
+    while end < len(words) and not words[end]:
+        end += 1
+    return start, end
+
+
+def core(body: bytes, words: bytes, shared: set[int], min_words: int) -> tuple[bytes, list[int], bytes, bytes]:
+    """(class, line numbers, body, words) of a document's lines in shared runs, blank lines at their edges included.
+
+    Alignments read nothing else of a document.  What lies between is one line, number -1, that no other class has.
+    """
+    _, n, by = slices(body, words, min_words)
+    at = sorted({x for k, places in by.items() if digest(k) in shared for lo, hi in places for x in range(*edges(n, lo, hi))})
+    lines = [x for i, p in enumerate(at) for x in ([-1, p] if i and p != at[i - 1] + 1 else [p])]
+    name = blake2b(b"".join(body[8 * p : 8 * p + 8] if p >= 0 else bytes(8) for p in lines), digest_size=16).digest()
+    own = b"".join(body[8 * p : 8 * p + 8] if p >= 0 else blake2b(name + i.to_bytes(4), digest_size=8).digest() for i, p in enumerate(lines))
+    return name, lines, own, np.array([n[p] if p >= 0 else min_words for p in lines], "<i4").tobytes()
+
+
+def open_keys(body: bytes, words: bytes, keys: set[int], gone: list[int], min_words: int) -> list[int]:
+    """Those of the keys whose runs, with the blank lines at their edges, still have lines that are not gone."""
+    _, n, by = slices(body, words, min_words)
+    lost = set(gone)
+    return [d for d, places in ((digest(k), v) for k, v in by.items()) if d in keys and any(x not in lost for lo, hi in places for x in range(*edges(n, lo, hi)))]
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = 10, rare: int = 4) -> DataFrame:
     """(id, _text, removed array<int>): line numbers to delete from the row with that id and text hash; only rows that lose lines."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -136,41 +170,73 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             bodies, words, keys = [], [], []
             for t in b.column(2).to_pylist():
                 lines = [x.replace("\r", "").strip(" ") for x in t.split("\n")]
-                digests = [blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in lines]
-                bodies.append(b"".join(digests))
+                bodies.append(b"".join(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in lines))
                 words.append(np.array([len(x.split(" ")) - x.split(" ").count("") for x in lines], "<i4").tobytes())
-                held = slices(bodies[-1], words[-1], min_block_words)[2]
-                keys.append(np.frombuffer(b"".join(blake2b(k, digest_size=8).digest() for k in held), "<i8").tolist())
+                keys.append([digest(k) for k in slices(bodies[-1], words[-1], min_block_words)[2]])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bodies, pa.binary()), pa.array(words, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "_text", "body", "words", "keys"])
 
+    def cut(batches):
+        for b in batches:
+            ids, texts, body, words, keys = b.columns
+            out = [core(x, n, set(k), min_block_words) for x, n, k in zip(body.to_pylist(), words.to_pylist(), keys.to_pylist())]
+            name, at, own, n = zip(*out) if out else ([],) * 4
+            yield pa.RecordBatch.from_arrays([ids, texts, pa.array(name, pa.binary()), pa.array(at, pa.list_(pa.int32())), pa.array(own, pa.binary()), pa.array(n, pa.binary()), keys], ["id", "_text", "class", "at", "body", "words", "keys"])
+
     known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("text"))
     bodies = known.mapInArrow(pack, f"id {kind}, _text long, body binary, words binary, keys array<long>")
     bodies = materialize(bodies.dropDuplicates(["id", "_text"]), "bodies")
     keys = bodies.select("id", "_text", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key")
-    held = materialize(keys.join(shared, "key"), "held")
+    held = keys.join(shared, "key").groupBy("id", "_text").agg(F.collect_list("key").alias("keys"))
+    cores = bodies.select("id", "_text", "body", "words").join(held, ["id", "_text"])
+    cores = materialize(cores.mapInArrow(cut, f"id {kind}, _text long, class binary, at array<int>, body binary, words binary, keys array<long>"), "cores")
+    # equal cores align alike with any other, so classes are compared, in the order of their first documents
+    classes = cores.groupBy("class").agg(F.min("id").alias("first"), F.first(F.struct("body", "words", "keys")).alias("c"))
+    classes = materialize(classes.select("class", "first", "c.*"), "classes")
+    holders = materialize(classes.select("class", "first", F.explode("keys").alias("key")), "holders")
     # each task passes on the first holders of a key only, so a common key costs a few rows a task
-    place = F.dense_rank().over(Window.partitionBy("key").orderBy("id"))
-    first = held.select("key", F.col("id").alias("first"), place.alias("place")).where(F.col("place") <= rare).select("key", "first").distinct()
-    pairs = held.join(first, "key").where("first < id").select("id", "_text", "first").distinct()
-    earlier = bodies.select(F.col("id").alias("first"), F.struct("body", "words").alias("earlier"))
-    aligned = pairs.join(bodies.drop("keys"), ["id", "_text"]).join(earlier, "first")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("first", "class"))
+    early = materialize(holders.select("key", F.col("class").alias("other"), F.col("first").alias("before"), place.alias("place")).where(F.col("place") <= rare + 1), "early")
 
     def align(batches):
         seen, other = None, None
         for b in batches:
-            ids, texts, body, words, first = b.columns
+            name, body, words, earlier = b.columns
             out = []
-            for own, n, e in zip(body.to_pylist(), words.to_pylist(), first.to_pylist()):
-                if e != seen:  # one earlier document's pairs follow each other
+            for own, n, e in zip(body.to_pylist(), words.to_pylist(), earlier.to_pylist()):
+                if e != seen:  # one earlier class's pairs follow each other
                     seen, other = e, slices(e["body"], e["words"], min_block_words)
                 out.append(common_blocks(other, slices(own, n, min_block_words), min_block_words))
-            yield pa.RecordBatch.from_arrays([ids, texts, pa.array(out, pa.list_(pa.int32()))], ["id", "_text", "removed"])
+            yield pa.RecordBatch.from_arrays([name, pa.array(out, pa.list_(pa.int32()))], ["class", "gone"])
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        """(class, line): what the pairs (class, other) align, as places in the class's core."""
+        earlier = classes.select(F.col("class").alias("other"), F.struct("body", "words").alias("earlier"))
+        both = pairs.join(classes.select("class", "body", "words"), "class").join(earlier, "other")
+        found = both.select("class", "body", "words", "earlier").mapInArrow(align, "class binary, gone array<int>")
+        return found.select("class", F.explode("gone").alias("line")).distinct()
 
-    found = aligned.select("id", "_text", "body", "words", "earlier").mapInArrow(align, f"id {kind}, _text long, removed array<int>")
-    found = found.select("id", "_text", F.explode("removed").alias("at")).distinct()
-    out = materialize(found.groupBy("id", "_text").agg(F.collect_list("at").alias("removed")), "removed", tidy=True)
-    discard([bodies, held])
+    def still_open(batches):
+        for b in batches:
+            name, first, body, words, keys, gone = b.columns
+            out = [open_keys(x, n, set(k), g or [], min_block_words) for x, n, k, g in zip(body.to_pylist(), words.to_pylist(), keys.to_pylist(), gone.to_pylist())]
+            yield pa.RecordBatch.from_arrays([name, first, pa.array(out, pa.list_(pa.int64()))], ["class", "first", "keys"])
+
+    tried = materialize(holders.join(early.where(F.col("place") <= rare), "key").where("before < first").select("class", "other").distinct(), "tried")
+    gone = materialize(aligned(tried), "gone")
+    # the further holders of a common run are compared as well, unless the first ones leave nothing of it
+    more = holders.join(early.where(F.col("place") > rare).select("key", "before"), "key").where("before < first").groupBy("class").agg(F.collect_list("key").alias("common"))
+    lost = gone.groupBy("class").agg(F.collect_list("line").alias("lost"))
+    left = classes.join(more, "class").join(lost, "class", "left").select("class", "first", "body", "words", "common", "lost")
+    left = left.mapInArrow(still_open, f"class binary, first {kind}, keys array<long>").select("class", "first", F.explode("keys").alias("key"))
+    others = holders.select("key", F.col("class").alias("other"), F.col("first").alias("before"))
+    further = left.join(others, "key").where("before < first").select("class", "other").distinct().join(tried, ["class", "other"], "left_anti")
+    gone_all = gone.union(aligned(further)).distinct().groupBy("class").agg(F.collect_list("line").alias("gone"))
+    # a later document of a class shares its whole core with the first
+    rows = cores.select("id", "_text", "class", "at").join(classes.select("class", "first"), "class").join(gone_all, "class", "left")
+    lines = F.when(F.col("id") > F.col("first"), F.filter("at", lambda x: x >= 0)).otherwise(F.transform("gone", lambda i: F.get("at", i)))
+    out = materialize(rows.select("id", "_text", lines.alias("removed")).where("size(removed) > 0"), "removed", tidy=True)
+    discard([bodies, cores, classes, holders, early, tried, gone])
     return out
 
 

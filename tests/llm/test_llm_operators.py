@@ -578,3 +578,30 @@ def test_line_dedup_against_all_pairs(spark):
     assert got[100] == rows[0][1].count("\n") + 1 and got[201] >= 7
     found, whole = sum(min(got[i], want[i]) for i in want), sum(want.values())
     assert whole > 50 and found >= 0.98 * whole and all(got[i] <= want[i] for i in want)
+
+
+def test_line_dedup_tries_all_holders_of_a_common_run(spark):
+    """Five earlier documents hold two lines in one order, of which alignment takes one; the next holds them in the other order."""
+    rng = random.Random(43)
+    p, q, own = prose(rng, 12), prose(rng, 12), [prose(rng, 12) for _ in range(14)]
+    rows = [(i, "\n".join([own[i], q, "x", p])) for i in range(1, 7)] + [(7, "\n".join([p, "y", q])), (8, "\n".join(["z", p, "w", q, "v"]))]
+    rows += [(100 + i, own[i]) for i in range(1, 7)]  # so that no two of the first six have the same shared lines
+    got = {r.doc_id: (r.n_removed_lines, r.text) for r in linedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got[7][0] == 1 and got[8] == (2, "z\nw\nv")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_line_dedup_equals_all_pairs(spark, seed):
+    """Repeats, blank lines, copies and common lines in any order: what alignment of all pairs removes, line by line."""
+    rng = random.Random(50 + seed)
+    stock = [prose(rng, n, 60) for n in (4, 6, 10, 12, 15) for _ in range(2)] + ["", ""]
+    rows = [(i, "\n".join(rng.choice(stock) if rng.random() < 0.75 else prose(rng, rng.randrange(1, 14)) for _ in range(rng.randrange(1, 12)))) for i in range(90)]
+    rows += [(200 + k, rows[3 * k][1]) for k in range(10)] + [(300 + k, prose(rng, 14) + "\n" + rows[5 * k][1]) for k in range(10)]
+
+    def sliced(t):
+        body = b"".join(hashlib.blake2b(x.encode(), digest_size=8).digest() for x in t.split("\n"))
+        return linedup.slices(body, np.array([len(x.split()) for x in t.split("\n")], "<i4").tobytes(), 10)
+
+    cut = {i: sliced(t) for i, t in rows}
+    want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in {y for j, _ in rows if j < i for y in linedup.common_blocks(cut[j], cut[i], 10)}) for i, t in rows}
+    assert {r.doc_id: r.text for r in linedup.dedup_lines(docs(spark, rows)).collect()} == want
