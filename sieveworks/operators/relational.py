@@ -40,17 +40,49 @@ def not_in(df: DataFrame, column: str, other: DataFrame, other_column: str) -> D
     return spark.sql(f"SELECT * FROM _not_in_left WHERE `{column}` NOT IN (SELECT `{other_column}` FROM _not_in_right)")
 
 
+def equal_pairs(left: DataFrame, right: DataFrame, on: list[str], key: str, value: str, block: int = 4096) -> DataFrame:
+    """(on, key, value) of all pairs that agree on ``on``; left: (on, key), right: (on, value), each row once.
+
+    Groups are dealt into blocks of about ``block`` rows and pairs of blocks over all cores, each expanded where it lands:
+    no pair is shuffled, and a group of any size is shared by as many tasks as it has pairs of blocks.
+    """
+
+    def blocks(df: DataFrame, column: str, rows: str) -> DataFrame:
+        n = df.groupBy(*on).agg(F.ceil(F.count("*") / block).alias("_n"))
+        dealt = df.join(n, on).withColumn("_block", F.pmod(F.xxhash64(column), F.col("_n")))
+        return dealt.groupBy(*on, "_block").agg(F.collect_list(F.struct(column)).alias(rows)).drop("_block")
+
+    both = blocks(left, key, "_left").join(blocks(right, value, "_right"), on)
+    both = both.repartition(8 * both.sparkSession.sparkContext.defaultParallelism)
+    return both.select(*on, F.explode("_left").alias("_l"), "_right").select(*on, "_l", F.explode("_right").alias("_r")).select(*on, F.col(f"_l.{key}"), F.col(f"_r.{value}"))
+
+
 def cascade_match(probe: DataFrame, build: DataFrame, key: str, title: str, value: str) -> DataFrame:
-    """(key, value, stage): exact title match, else the build title's part before ':' or '(' equals the probe, else the probe's part does."""
+    """(key, value, stage): exact title match, else the build title's part before ':' or '(' equals the probe, else the probe's part does.
+
+    A key's stage is found from the distinct titles; only then are pairs made, and only those of keys and values
+    with several titles can repeat and are compared with each other.
+    """
     cut = lambda c: F.trim(F.regexp_extract(c, r"^([^:(]*)", 1))
-    p = probe.select(F.col(key), F.lower(title).alias("_t"))
-    b = build.select(F.col(value), F.lower(title).alias("_b"))
-    out, left = None, p
-    for stage, (x, y) in enumerate([(F.col("_t"), F.col("_b")), (F.col("_t"), cut("_b")), (cut("_t"), cut("_b"))], 1):
-        hit = left.withColumn("_x", x).join(b.withColumn("_x", y), "_x").select(key, value, F.lit(stage).alias("stage")).distinct()
-        out = hit if out is None else out.unionByName(hit)
-        left = left.join(hit.select(key), key, "left_anti")
-    return out
+    p = probe.select(F.col(key), F.lower(title).alias("_t")).where("_t IS NOT NULL").distinct()
+    b = build.select(F.col(value), F.lower(title).alias("_b")).where("_b IS NOT NULL").distinct()
+    whole, parts = b.select(F.col("_b").alias("_x")).distinct(), b.select(cut("_b").alias("_x")).distinct()
+    titles = p.select("_t").distinct().withColumn("_c", cut("_t"))
+    for name, column, known in (("_1", "_t", whole), ("_2", "_t", parts), ("_3", "_c", parts)):
+        titles = titles.join(known.select(F.col("_x").alias(column), F.lit(True).alias(name)), column, "left")
+    stage = F.when(F.col("_1"), 1).when(F.col("_2"), 2).when(F.col("_3"), 3)
+    found = titles.select("_t", stage.alias("stage"), F.when(stage == 3, F.col("_c")).otherwise(F.col("_t")).alias("_x"), (stage > 1).alias("_cut")).where("stage IS NOT NULL")
+    # a key takes part with its first stage; numbers of titles tell which pairs can come twice
+    per_key, count = Window.partitionBy(key), F.count("*")
+    left = p.join(found, "_t").select(key, "stage", "_x", "_cut").distinct().withColumn("_first", F.min("stage").over(per_key)).where("stage = _first")
+    left = left.withColumn("_many", count.over(per_key) > 1).drop("_first")
+    right = b.select(value, F.explode(F.array(F.struct(F.lit(False).alias("_cut"), F.col("_b").alias("_x")), F.struct(F.lit(True).alias("_cut"), cut("_b").alias("_x")))).alias("_s"))
+    right = right.select(value, "_s.*").distinct().withColumn("_several", count.over(Window.partitionBy(value, "_cut")) > 1)
+    rows = lambda many, several: equal_pairs(
+        left.where(many).withColumn("_k", F.struct(key, "stage")).select("_cut", "_x", "_k"), right.where(several).select("_cut", "_x", value), ["_cut", "_x"], "_k", value
+    ).select(f"_k.{key}", value, "_k.stage")
+    again = rows(F.col("_many"), F.col("_several")).distinct()
+    return rows(~F.col("_many"), F.lit(True)).unionByName(rows(F.col("_many"), ~F.col("_several"))).unionByName(again)
 
 
 def first_seen(df: DataFrame, key: str, value: str, order: str) -> DataFrame:

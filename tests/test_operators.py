@@ -238,3 +238,21 @@ def test_item_ranks_equal_search(spark):
     for shard_tokens, block in ((1 << 20, 4096), (40, 7)):
         got = rank.item_ranks(docs, "id", "text", terms, items, 15, shard_tokens, block)
         assert len(want) > 30 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_cascade_match_shuffles_no_pairs(spark):
+    """Each pair once, of keys and values with several titles as well; pairs are made after the last shuffle of their rows."""
+    titles = ["a", "A", "a (x)", "a: y", "b (z)", "b", "c: 1", "c (2)", "", None]
+    probe = [(i % 23, titles[i * 7 % 10]) for i in range(60)] + [(100, "a (q)"), (100, "b: r"), (101, "c"), (101, "a (q)"), (102, "c: q")]
+    build = [(i % 19, titles[i * 3 % 10]) for i in range(45)]
+    cut = lambda t: t.split(":")[0].split("(")[0].strip(" ")
+    low = lambda rows: [(k, t.lower()) for k, t in rows if t is not None]
+    want, left = set(), low(probe)
+    for stage, (f, g) in enumerate([(str, str), (str, cut), (cut, cut)], 1):
+        hit = {(k, v, stage) for k, t in left for v, u in low(build) if f(t) == g(u)}
+        want, left = want | hit, [(k, t) for k, t in left if k not in {h[0] for h in hit}]
+    out = relational.cascade_match(spark.createDataFrame(probe, "k long, title string"), spark.createDataFrame(build, "v long, title string"), "k", "title", "v")
+    assert sorted(map(tuple, out.collect())) == sorted(want) and {s for *_, s in want} == {1, 2, 3}
+    one = spark.range(2000).selectExpr("id AS k", "id AS v", "'t' AS title")
+    out = relational.cascade_match(one, one, "k", "title", "v")
+    assert out.where("stage = 1").count() == 4_000_000 and out.rdd.getNumPartitions() > 4
