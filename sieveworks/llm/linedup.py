@@ -13,7 +13,10 @@ The result is that of aligning all pairs of overlapping documents.  An alignment
 the lines in runs that it shares with any other (its core), so documents with equal cores form a class:
 all but the first lose their core whole, and only classes are compared.  Each is aligned with the first
 ``rare`` holders of each of its runs (smallest ids).  If that leaves lines of a run with more holders,
-the class is aligned with all of them; otherwise they could not add anything.
+the class is aligned with the others as well; otherwise they could not add anything.  Runs that more than
+``few`` of an open run's holders hold are that run's common company.  Holders that share another run with
+the class are aligned one by one, at most ``few`` for each.  With the rest it shares common company only, so
+of those with the same outline (their lines in it, gaps and order) one stands for all.
 
 Defined results: lines are compared without surrounding blanks; null text has no lines and stays
 null; rows with a null id stay as they are; rows of one id are not compared with each other; equal
@@ -104,10 +107,15 @@ def slices(body: bytes, words: bytes, min_words: int) -> tuple[list[int], list[i
     return np.frombuffer(body, "<i8").tolist(), n, by
 
 
-def common_blocks(a: tuple, b: tuple, min_words: int) -> list[int]:
-    """Line numbers of b in aligned blocks of at least ``min_words`` words; a, b: documents as ``slices`` has them."""
+def common_blocks(a: tuple, b: tuple, min_words: int, only: set[int] | None = None) -> list[int]:
+    """Line numbers of b in aligned blocks of at least ``min_words`` words; a, b: documents as ``slices`` has them.
+
+    only: the digests of the runs that count, as if no other were shared.
+    """
     (a_lines, a_words, a_runs), (b_lines, b_words, b_runs) = a, b
     common = a_runs.keys() & b_runs.keys()
+    if only is not None:
+        common = {k for k in common if digest(k) in only}
     # a block of min_words words is made of runs that both documents hold, so lines outside those are not aligned
     a_at, b_at = (sorted({x for k in common for lo, hi in by[k] for x in range(lo, hi)}) for by in (a_runs, b_runs))
     out: list[int] = []
@@ -141,13 +149,25 @@ def edges(words: list[int], start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def covered(words: list[int], by: dict[bytes, list[tuple[int, int]]], keys: set[int]) -> list[int]:
+    """Line numbers in runs of these keys, blank lines at their edges included."""
+    return sorted({x for k, places in by.items() if digest(k) in keys for lo, hi in places for x in range(*edges(words, lo, hi))})
+
+
+def outline(body: bytes, words: bytes, keys: set[int], min_words: int) -> bytes:
+    """What an alignment over these keys alone reads of a document, hashed: the lines they cover and where others lie between."""
+    _, n, by = slices(body, words, min_words)
+    at = covered(n, by, keys)
+    return blake2b(b"".join((b"-" if i and p != at[i - 1] + 1 else b"+") + body[8 * p : 8 * p + 8] for i, p in enumerate(at)), digest_size=16).digest()
+
+
 def core(body: bytes, words: bytes, shared: set[int], min_words: int) -> tuple[bytes, list[int], bytes, bytes]:
     """(class, line numbers, body, words) of a document's lines in shared runs, blank lines at their edges included.
 
     Alignments read nothing else of a document.  What lies between is one line, number -1, that no other class has.
     """
     _, n, by = slices(body, words, min_words)
-    at = sorted({x for k, places in by.items() if digest(k) in shared for lo, hi in places for x in range(*edges(n, lo, hi))})
+    at = covered(n, by, shared)
     lines = [x for i, p in enumerate(at) for x in ([-1, p] if i and p != at[i - 1] + 1 else [p])]
     name = blake2b(b"".join(body[8 * p : 8 * p + 8] if p >= 0 else bytes(8) for p in lines), digest_size=16).digest()
     own = b"".join(body[8 * p : 8 * p + 8] if p >= 0 else blake2b(name + i.to_bytes(4), digest_size=8).digest() for i, p in enumerate(lines))
@@ -161,7 +181,7 @@ def open_keys(body: bytes, words: bytes, keys: set[int], gone: list[int], min_wo
     return [d for d, places in ((digest(k), v) for k, v in by.items()) if d in keys and any(x not in lost for lo, hi in places for x in range(*edges(n, lo, hi)))]
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = 10, rare: int = 4) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = 10, rare: int = 4, few: int = 64) -> DataFrame:
     """(id, _text, removed array<int>): line numbers to delete from the row with that id and text hash; only rows that lose lines."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -201,19 +221,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def align(batches):
         seen, other = None, None
         for b in batches:
-            name, body, words, earlier = b.columns
+            name, body, words, earlier, only = b.columns
             out = []
-            for own, n, e in zip(body.to_pylist(), words.to_pylist(), earlier.to_pylist()):
+            for own, n, e, o in zip(body.to_pylist(), words.to_pylist(), earlier.to_pylist(), only.to_pylist()):
                 if e != seen:  # one earlier class's pairs follow each other
                     seen, other = e, slices(e["body"], e["words"], min_block_words)
-                out.append(common_blocks(other, slices(own, n, min_block_words), min_block_words))
+                out.append(common_blocks(other, slices(own, n, min_block_words), min_block_words, None if o is None else set(o)))
             yield pa.RecordBatch.from_arrays([name, pa.array(out, pa.list_(pa.int32()))], ["class", "gone"])
 
     def aligned(pairs: DataFrame) -> DataFrame:
-        """(class, line): what the pairs (class, other) align, as places in the class's core."""
+        """(class, line): what the pairs (class, other, only) align, as places in the class's core; only: the keys that count, null for all."""
         earlier = classes.select(F.col("class").alias("other"), F.struct("body", "words").alias("earlier"))
         both = pairs.join(classes.select("class", "body", "words"), "class").join(earlier, "other")
-        found = both.select("class", "body", "words", "earlier").mapInArrow(align, "class binary, gone array<int>")
+        found = both.select("class", "body", "words", "earlier", "only").mapInArrow(align, "class binary, gone array<int>")
         return found.select("class", F.explode("gone").alias("line")).distinct()
 
     def still_open(batches):
@@ -222,21 +242,51 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out = [open_keys(x, n, set(k), g or [], min_block_words) for x, n, k, g in zip(body.to_pylist(), words.to_pylist(), keys.to_pylist(), gone.to_pylist())]
             yield pa.RecordBatch.from_arrays([name, first, pa.array(out, pa.list_(pa.int64()))], ["class", "first", "keys"])
 
+    def drawn(batches):
+        for b in batches:
+            key, name, first, company, body, words = b.columns
+            out = [outline(x, n, set(k), min_block_words) for x, n, k in zip(body.to_pylist(), words.to_pylist(), company.to_pylist())]
+            yield pa.RecordBatch.from_arrays([key, name, first, company, pa.array(out, pa.binary())], ["key", "class", "first", "company", "outline"])
+
+    every = F.lit(None).cast("array<long>").alias("only")
     tried = materialize(holders.join(early.where(F.col("place") <= rare), "key").where("before < first").select("class", "other").distinct(), "tried")
-    gone = materialize(aligned(tried), "gone")
+    gone = materialize(aligned(tried.select("*", every)), "gone")
     # the further holders of a common run are compared as well, unless the first ones leave nothing of it
     more = holders.join(early.where(F.col("place") > rare).select("key", "before"), "key").where("before < first").groupBy("class").agg(F.collect_list("key").alias("common"))
     lost = gone.groupBy("class").agg(F.collect_list("line").alias("lost"))
     left = classes.join(more, "class").join(lost, "class", "left").select("class", "first", "body", "words", "common", "lost")
     left = left.mapInArrow(still_open, f"class binary, first {kind}, keys array<long>").select("class", "first", F.explode("keys").alias("key"))
-    others = holders.select("key", F.col("class").alias("other"), F.col("first").alias("before"))
-    further = left.join(others, "key").where("before < first").select("class", "other").distinct().join(tried, ["class", "other"], "left_anti")
+    left = materialize(left, "left")
+    # the holders of the open keys, each with all its keys; (key, mate) is common if more than few of them have both
+    mates = holders.join(left.select("key").distinct(), "key").join(classes.select("class", F.explode("keys").alias("mate")), "class")
+    mates = materialize(mates.select("key", "mate", "class", "first"), "mates")
+    common = materialize(mates.groupBy("key", "mate").count().where(F.col("count") > few).select("key", "mate"), "common")
+    scarce = mates.join(common, ["key", "mate"], "left_anti")
+    mine = left.join(scarce.select("key", "mate", "class"), ["key", "class"])
+    near = mine.join(scarce.select("key", "mate", F.col("class").alias("other"), F.col("first").alias("before")), ["key", "mate"])
+    near = materialize(near.where("before < first").select("class", "key", "other").distinct(), "near")
+    # with its other holders a class shares common keys only, and those with the same outline of them align alike
+    company = mates.join(common, ["key", "mate"]).groupBy("key", "class", "first").agg(F.collect_list("mate").alias("company"))
+    outlines = company.join(classes.select("class", "body", "words"), "class").select("key", "class", "first", "company", "body", "words")
+    outlines = materialize(outlines.mapInArrow(drawn, f"key long, class binary, first {kind}, company array<long>, outline binary"), "outlines")
+    met = near.join(outlines.select("key", F.col("class").alias("other"), "outline"), ["key", "other"]).groupBy("class", "key", "outline").agg(F.count("*").alias("n"))
+    met = materialize(met, "met")
+    most = met.agg(F.max("n")).first()[0] or 0
+    # of n holders met already one more is earlier than the class if and only if holder n + 1 is
+    turn = F.row_number().over(Window.partitionBy("key", "outline").orderBy("first", "class"))
+    seats = outlines.select("key", "outline", F.col("class").alias("other"), F.col("first").alias("before"), turn.alias("turn")).where(F.col("turn") <= most + 1)
+    seats = materialize(seats, "seats")
+    far = left.join(outlines.select("key", "class", "company"), ["key", "class"]).join(seats.where("turn = 1").select("key", "outline", "other"), "key")
+    far = far.join(met, ["class", "key", "outline"], "left").withColumn("turn", F.coalesce("n", F.lit(0)) + 1)
+    far = far.join(seats.select("key", "outline", "turn", "before"), ["key", "outline", "turn"]).where("before < first")
+    further = near.select("class", "other").distinct().join(tried, ["class", "other"], "left_anti").select("*", every)
+    further = further.union(far.select("class", "other", F.col("company").alias("only")))
     gone_all = gone.union(aligned(further)).distinct().groupBy("class").agg(F.collect_list("line").alias("gone"))
     # a later document of a class shares its whole core with the first
     rows = cores.select("id", "_text", "class", "at").join(classes.select("class", "first"), "class").join(gone_all, "class", "left")
     lines = F.when(F.col("id") > F.col("first"), F.filter("at", lambda x: x >= 0)).otherwise(F.transform("gone", lambda i: F.get("at", i)))
     out = materialize(rows.select("id", "_text", lines.alias("removed")).where("size(removed) > 0"), "removed", tidy=True)
-    discard([bodies, cores, classes, holders, early, tried, gone])
+    discard([bodies, cores, classes, holders, early, tried, gone, left, mates, common, near, outlines, met, seats])
     return out
 
 

@@ -605,3 +605,48 @@ def test_line_dedup_equals_all_pairs(spark, seed):
     cut = {i: sliced(t) for i, t in rows}
     want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in {y for j, _ in rows if j < i for y in linedup.common_blocks(cut[j], cut[i], 10)}) for i, t in rows}
     assert {r.doc_id: r.text for r in linedup.dedup_lines(docs(spark, rows)).collect()} == want
+
+
+def join_rows(spark, since: int) -> int:
+    """The most rows that a join made in the executions from number ``since`` on."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    most, runs = 0, store.executionsList()
+    for e in (runs.apply(i) for i in range(runs.size())):
+        if e.executionId() < since:
+            continue
+        values, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for n in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (n.metrics().apply(i) for i in range(n.metrics().size()) if "Join" in n.name()):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_line_dedup_of_a_common_line_twice_makes_no_rows_of_pairs(spark):
+    """240 different documents hold a line, half of them twice: no earlier one has the second line of those but they themselves."""
+    rng = random.Random(61)
+    line, own = prose(rng, 12), [prose(rng, 12) for _ in range(240)]
+    rows = [(i, f"{own[i]}\n{line}" if i < 120 else f"{line}\n{own[i]}\n{line}") for i in range(240)]
+    rows += [(1000 + i, own[i]) for i in range(240)]  # so that no two have the same shared lines
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {r.doc_id: r.n_removed_lines for r in linedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {i: (0 if i == 0 else 1 if i <= 120 else 2) if i < 240 else 1 for i, _ in ((r[0], 0) for r in rows)}
+    assert 0 < join_rows(spark, since) < 10 * len(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_by_outlines_equals_all_pairs(spark, seed):
+    """One holder for all of an outline: what alignment of all pairs removes, with hardly any pairs tried before or one by one."""
+    rng = random.Random(70 + seed)
+    stock = [prose(rng, n, 60) for n in (4, 6, 10, 12, 15) for _ in range(1 + seed % 2)] + [""]
+    rows = [(i, "\n".join(rng.choice(stock) if rng.random() < 0.6 else prose(rng, rng.randrange(1, 14)) for _ in range(rng.randrange(1, 9)))) for i in range(150)]
+    rows += [(300 + k, prose(rng, 14) + "\n" + rows[5 * k][1]) for k in range(10)]
+
+    def sliced(t):
+        body = b"".join(hashlib.blake2b(x.encode(), digest_size=8).digest() for x in t.split("\n"))
+        return linedup.slices(body, np.array([len(x.split()) for x in t.split("\n")], "<i4").tobytes(), 10)
+
+    cut = {i: sliced(t) for i, t in rows}
+    want = {i: sorted({y for j, _ in rows if j < i for y in linedup.common_blocks(cut[j], cut[i], 10)}) for i, t in rows}
+    got = {r.id: sorted(r.removed) for r in linedup.removed_lines(docs(spark, rows), rare=1, few=(1, 3, 8, 20)[seed]).collect()}
+    assert got == {i: x for i, x in want.items() if x}
