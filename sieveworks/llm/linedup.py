@@ -37,6 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
+#: Documents whose texts a Python task holds at once, beside the batch they came in.
+PACK_ROWS = 256
+
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned positions (i, j) with a[i] == b[j], increasing in both."""
@@ -186,7 +189,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pack(batches):
-        for b in batches:
+        for b in (whole.slice(i, PACK_ROWS) for whole in batches for i in range(0, whole.num_rows, PACK_ROWS)):
             bodies, words, keys = [], [], []
             for t in b.column(2).to_pylist():
                 lines = [x.replace("\r", "").strip(" ") for x in t.split("\n")]

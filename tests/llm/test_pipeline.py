@@ -6,6 +6,7 @@ import random
 
 import corpus_pipeline
 from sieveworks.llm.registry import ORACLES, QUERIES
+from test_llm_operators import join_rows
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,3 +57,18 @@ def test_registry():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_line_stage_makes_no_rows_of_pairs(spark):
+    """Documents quote a passage of three lines once, without its second line or twice: rows grow with documents, not with pairs."""
+    rng = random.Random(23)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(12))
+    p, own = [line() for _ in range(3)], [line() for _ in range(240)]
+    whole, part = "\n".join(p), f"{p[0]}\n{p[2]}"
+    rows = [(i, f"{own[i]}\n{whole}" if i < 70 else f"{own[i]}\n{part}" if i < 140 else f"{whole}\n{own[i]}\n{whole}") for i in range(240)]
+    rows += [(1000 + i, own[i]) for i in range(240)]  # so that no two have the same shared lines; these lose all
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()}
+    assert got == {i: rows[0][1] if i == 0 else f"{own[i]}\n{whole}" if i == 140 else own[i] for i in range(240)}
+    assert 0 < join_rows(spark, since) < 10 * len(rows)
