@@ -40,21 +40,24 @@ def not_in(df: DataFrame, column: str, other: DataFrame, other_column: str) -> D
     return spark.sql(f"SELECT * FROM _not_in_left WHERE `{column}` NOT IN (SELECT `{other_column}` FROM _not_in_right)")
 
 
-def equal_pairs(left: DataFrame, right: DataFrame, on: list[str], key: str, value: str, block: int = 4096) -> DataFrame:
-    """(on, key, value) of all pairs that agree on ``on``; left: (on, key), right: (on, value), each row once.
+def blocks(df: DataFrame, column: str, rows: str, block: int = 4096) -> DataFrame:
+    """(the other columns, rows): the column's values, nulls too, in arrays of about ``block`` for each combination of the others."""
+    by = [c for c in df.columns if c != column]
+    n = df.groupBy(*by).agg(F.ceil(F.count("*") / block).alias("_n"))
+    dealt = df.join(n, by).withColumn("_block", F.pmod(F.xxhash64(column), F.col("_n")))
+    return dealt.groupBy(*by, "_block").agg(F.collect_list(F.struct(column)).getField(column).alias(rows)).drop("_block")
 
-    Groups are dealt into blocks of about ``block`` rows and pairs of blocks over all cores, each expanded where it lands:
-    no pair is shuffled, and a group of any size is shared by as many tasks as it has pairs of blocks.
-    """
 
-    def blocks(df: DataFrame, column: str, rows: str) -> DataFrame:
-        n = df.groupBy(*on).agg(F.ceil(F.count("*") / block).alias("_n"))
-        dealt = df.join(n, on).withColumn("_block", F.pmod(F.xxhash64(column), F.col("_n")))
-        return dealt.groupBy(*on, "_block").agg(F.collect_list(F.struct(column)).alias(rows)).drop("_block")
+def block_pairs(both: DataFrame, left: str, right: str, key: str, value: str) -> DataFrame:
+    """(the other columns, key, value): each row's two arrays crossed.
 
-    both = blocks(left, key, "_left").join(blocks(right, value, "_right"), on)
+    Rows are dealt over all cores and expanded where they land: no pair is shuffled, and a group of any size is shared by
+    as many tasks as it has pairs of blocks. Generated code keeps all rows it makes of one input row before it hands on the
+    first. ``transform`` has no generated code, which keeps the two explodes apart: at most one array's length is held, not the product.
+    """
+    rest = [c for c in both.columns if c not in (left, right)]
     both = both.repartition(8 * both.sparkSession.sparkContext.defaultParallelism)
-    return both.select(*on, F.explode("_left").alias("_l"), "_right").select(*on, "_l", F.explode("_right").alias("_r")).select(*on, F.col(f"_l.{key}"), F.col(f"_r.{value}"))
+    return both.select(*rest, F.explode(F.transform(left, lambda x: x)).alias(key), right).select(*rest, key, F.explode(right).alias(value))
 
 
 def cascade_match(probe: DataFrame, build: DataFrame, key: str, title: str, value: str) -> DataFrame:
@@ -78,11 +81,10 @@ def cascade_match(probe: DataFrame, build: DataFrame, key: str, title: str, valu
     left = left.withColumn("_many", count.over(per_key) > 1).drop("_first")
     right = b.select(value, F.explode(F.array(F.struct(F.lit(False).alias("_cut"), F.col("_b").alias("_x")), F.struct(F.lit(True).alias("_cut"), cut("_b").alias("_x")))).alias("_s"))
     right = right.select(value, "_s.*").distinct().withColumn("_several", count.over(Window.partitionBy(value, "_cut")) > 1)
-    rows = lambda many, several: equal_pairs(
-        left.where(many).withColumn("_k", F.struct(key, "stage")).select("_cut", "_x", "_k"), right.where(several).select("_cut", "_x", value), ["_cut", "_x"], "_k", value
-    ).select(f"_k.{key}", value, "_k.stage")
-    again = rows(F.col("_many"), F.col("_several")).distinct()
-    return rows(~F.col("_many"), F.lit(True)).unionByName(rows(F.col("_many"), ~F.col("_several"))).unionByName(again)
+    left, right = blocks(left.select("_cut", "_x", "stage", "_many", key), key, "_left"), blocks(right, value, "_right")
+    both = left.join(right, ["_cut", "_x"])
+    rows = lambda which: block_pairs(both.where(which).select("stage", "_left", "_right"), "_left", "_right", key, value).select(key, value, "stage")
+    return rows("NOT (_many AND _several)").unionByName(rows("_many AND _several").distinct())
 
 
 def first_seen(df: DataFrame, key: str, value: str, order: str) -> DataFrame:

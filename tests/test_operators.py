@@ -256,3 +256,27 @@ def test_cascade_match_shuffles_no_pairs(spark):
     one = spark.range(2000).selectExpr("id AS k", "id AS v", "'t' AS title")
     out = relational.cascade_match(one, one, "k", "title", "v")
     assert out.where("stage = 1").count() == 4_000_000 and out.rdd.getNumPartitions() > 4
+
+
+def test_cascade_match_holds_no_block_of_pairs(spark):
+    """The first row of four million is there before thousands of pairs are made: generated code keeps all it makes of one input row."""
+    one = spark.range(2000).selectExpr("id AS k", "id AS v", "'t' AS title")
+    first = relational.cascade_match(one, one, "k", "title", "v").limit(1)
+    assert len(first.collect()) == 1
+
+    def nodes(plan):
+        stage = plan.nodeName() == "ResultQueryStage"
+        children = [plan.plan()] if stage else [plan.children().apply(i) for i in range(plan.children().size())]
+        yield plan
+        for child in children:
+            yield from nodes(child)
+
+    last = first._jdf.queryExecution().executedPlan().executedPlan()
+    made = [n.metrics().apply("numOutputRows").value() for n in nodes(last) if n.nodeName() == "Generate"]
+    assert len(made) > 1 and 0 < sum(made) < 100_000, made
+
+
+def test_cascade_match_keeps_null_values(spark):
+    probe, build = [(1, "a"), (2, "A (x)"), (3, "b: y")], [(None, "a"), (5, "a (z)"), (None, "b")]
+    out = relational.cascade_match(spark.createDataFrame(probe, "k long, title string"), spark.createDataFrame(build, "v long, title string"), "k", "title", "v")
+    assert set(map(tuple, out.collect())) == {(1, None, 1), (2, None, 3), (2, 5, 3), (3, None, 3)} and out.count() == 4
